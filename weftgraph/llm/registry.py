@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filters
+from . import decontaminate, exact_dedup, mixing, secrets, token_counts, url_filters
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op8_url_filters": url_filters.op8_url_filters,
+    "op9_secrets": secrets.op9_secrets,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
     "op8_url_filters": url_filters.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
