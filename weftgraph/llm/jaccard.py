@@ -28,7 +28,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -130,7 +130,10 @@ def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def _postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(shingle, class, n, pos) of the prefixes, for shingles that two classes or more post; checkpointed."""
+    """(shingle, class, n, pos, ahead) of the prefixes, for shingles that two classes or more post; checkpointed.
+
+    ahead: such postings of the class before this one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,13 +191,19 @@ def _postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> Data
     schema = "shingle long, class binary, n int, pos int"
     posted = docs.select("text").mapInArrow(post, schema)
     met = posted.repartition("shingle").sortWithinPartitions("shingle", "pos", "n", "class")
-    return cut(met.mapInArrow(not_alone, schema))
+    ahead = Window.partitionBy("class").orderBy("pos")
+    return cut(met.mapInArrow(not_alone, schema).withColumn("ahead", F.row_number().over(ahead) - 1))
+
 
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Length and positional filters of two postings of one shingle.
 
-def _may_link(n: Column, pos: Column, n2: Column, pos2: Column, percent: int) -> Column:
-    """Length and positional filters of two sets that share the shingle at these places of their prefixes."""
+    What two sets share before it stands in both prefixes, so is among the
+    `ahead` postings that aren't alone; after it, the shorter rest bounds.
+    """
+    n, n2, pos, pos2, ahead, ahead2 = (F.col(f"{side}{c}") for c in ("n", "pos", "ahead") for side in (x, y))
     length = F.least(n, n2) * 100 >= F.greatest(n, n2) * percent
-    most = F.least(pos, pos2) + 1 + F.least(n - pos - 1, n2 - pos2 - 1)
+    most = F.least(ahead, ahead2) + 1 + F.least(n - pos - 1, n2 - pos2 - 1)
     return length & (most * 100 >= (n + n2 - most) * percent)
 
 
@@ -246,19 +255,17 @@ def class_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFra
     star = True
     while True:
         groups = named.groupBy("shingle").agg(
-            F.min(F.struct("pos", "n", "class", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")
+            F.min(F.struct("pos", "n", "ahead", "class", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")
         ).filter("lo <> hi")
         if star:
             both = named.join(groups.select("shingle", "lead"), "shingle")
-            fit = (F.col("component") != F.col("lead.component")) & _may_link(
-                F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), percent
-            )
+            fit = (F.col("component") != F.col("lead.component")) & _may_link("", "lead.", percent)
             pairs = both.filter(fit).select(F.col("class").alias("a"), F.col("lead.class").alias("b"))
         else:
             open_ = named.join(groups.select("shingle"), "shingle", "left_semi")
             x, y = open_.alias("x"), open_.alias("y")
             fit = (F.col("x.component") != F.col("y.component")) & (F.col("x.class") < F.col("y.class")) & _may_link(
-                F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent
+                "x.", "y.", percent
             )
             pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).filter(fit)
             pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
