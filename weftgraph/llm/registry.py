@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, secrets, token_counts, url_filters
+from . import decontaminate, exact_dedup, jaccard, mixing, quality, secrets, token_counts, url_filters
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op8_url_filters": url_filters.op8_url_filters,
