@@ -78,9 +78,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _newton(design: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: np.ndarray, steps: int = 25) -> np.ndarray:
+    """Weights of least penalised log loss; targets may lie between 0 and 1. A step that makes it worse is halved."""
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float(weight @ (np.logaddexp(0, z) - target * z) + 0.5 * ridge @ (w * w))
+
+    w = np.zeros(design.shape[1])
+    now = loss(w)
+    for _ in range(steps):
+        p = _sigmoid(design @ w)
+        gradient = design.T @ (weight * (target - p)) - ridge * w
+        curve = (design * (weight * p * (1 - p) + 1e-9)[:, None]).T @ design + np.diag(ridge)
+        move = np.linalg.solve(curve, gradient)
+        while (then := loss(w + move)) > now and np.abs(move).max() > 1e-7:
+            move = move / 2
+        if then > now:
+            break
+        w, gain, now = w + move, now - then, then
+        if gain < 1e-7 * (1 + abs(now)):
+            break
+    return w
+
+
 @dataclass
 class Logistic:
-    """L2-regularised logistic regression on standardised features, by Newton steps, with Platt calibration."""
+    """L2-regularised logistic regression on standardised features, with Platt calibration."""
 
     l2: float = 1.0
     mean: np.ndarray | None = None
@@ -92,38 +116,22 @@ class Logistic:
     def _design(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones((len(x), 1))])
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 12) -> Logistic:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Logistic:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         design = self._design(x)
         ridge = np.full(design.shape[1], self.l2)
         ridge[-1] = 1e-6
-        w = np.zeros(design.shape[1])
-        for _ in range(steps):
-            p = _sigmoid(design @ w)
-            gradient = design.T @ (weight * (y - p)) - ridge * w
-            curve = (design * (weight * p * (1 - p) + 1e-6)[:, None]).T @ design + np.diag(ridge)
-            move = np.linalg.solve(curve, gradient)
-            w = w + move
-            if np.abs(move).max() < 1e-5:
-                break
-        self.weights = w
+        self.weights = _newton(design, y, weight, ridge)
         return self
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> Logistic:
         raw = self._design(x) @ self.weights
+        size = raw.std() + 1e-6
         # targets drawn in from 0 and 1, as Platt does, keep the fit finite
         target = np.where(y > 0.5, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-        a, b = 1.0, 0.0
-        for _ in range(30):
-            p = _sigmoid(a * raw + b)
-            r, v = target - p, p * (1 - p) + 1e-9
-            gradient = np.array([r @ raw, r.sum()]) - np.array([1e-3 * (a - 1), 0])
-            curve = np.array([[v @ (raw * raw) + 1e-3, v @ raw], [v @ raw, v.sum()]])
-            move = np.linalg.solve(curve + 1e-9 * np.eye(2), gradient)
-            a, b = a + move[0], b + move[1]
-            if np.abs(move).max() < 1e-6:
-                break
-        self.slope, self.offset = float(a), float(b)
+        design = np.column_stack([raw / size, np.ones(len(raw))])
+        slope, offset = _newton(design, target, np.ones(len(raw)), np.array([1e-3, 1e-6]))
+        self.slope, self.offset = float(max(slope, 0.0) / size), float(offset)
         return self
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
