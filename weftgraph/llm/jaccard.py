@@ -23,6 +23,7 @@ copies, and only classes are compared.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -215,10 +216,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
         for batch in batches:
             out = []
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            for name, x, y in zip(b, _texts(batch, "text_a"), _texts(batch, "text_b"), strict=True):
+            for name, x, y in zip(b, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
                 if name != last:
-                    last, kept = name, shingle_set(y, n)
-                out.append(linked(shingle_set(x, n), kept, percent))
+                    last, kept = name, shingle_set(zlib.decompress(y), n)
+                out.append(linked(shingle_set(zlib.decompress(x), n), kept, percent))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "link": pa.array(out)})
 
     left = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
@@ -228,7 +229,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
 
 def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(class, text) for the classes in `wanted`, of one row each; checkpointed."""
+    """(class, text) for the classes in `wanted`, of one row each; checkpointed. Texts are compressed: pairs move them."""
     reps = classes.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("rep"))
     reps = cut(reps.withColumnRenamed("class", "expected"))
 
@@ -237,11 +238,15 @@ def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int)
             got = [class_of(shingle_set(x, n)) for x in _texts(batch, "text")]
             fit = [i for i, (x, y) in enumerate(zip(got, batch.column("expected").to_pylist(), strict=True)) if x == y]
             if fit:
-                yield batch.take(pa.array(fit))
+                texts = _texts(batch, "text")
+                yield pa.RecordBatch.from_pydict({
+                    "class": pa.array([got[i] for i in fit], pa.binary()),
+                    "text": pa.array([zlib.compress(texts[i], 1) for i in fit], pa.binary()),
+                })
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = own.join(if_small(reps), F.col("doc_id").eqNullSafe(F.col("rep"))).select("expected", "text")
-    return cut(found.mapInArrow(right, "expected binary, text string").withColumnRenamed("expected", "class"))
+    return cut(found.mapInArrow(right, "class binary, text binary"))
 
 
 def class_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -313,7 +318,7 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     groups = cut(jaccard_groups(docs, n, percent))
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = groups.filter(~stays).select(F.col("doc_id").alias("gone_id"))
-    left = docs.join(if_small(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    left = docs.join(if_small(gone), docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left_anti")
     again = groups.filter(stays).filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
     if again.isEmpty():
         return left
