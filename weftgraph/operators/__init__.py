@@ -1 +1 @@
-
+"""Operators: DataFrames in, DataFrames out, keyed by graph_id throughout."""
