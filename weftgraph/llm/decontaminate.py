@@ -1,8 +1,9 @@
 """Benchmark decontamination with a broadcast set of test n-grams. DataFrame functions only.
 
-A benchmark item's windows are its runs of `n` words. Their hashes set bits of
-a filter of fixed size that is shipped as a literal; the scan of a document
-hashes each of its word windows and looks it up there. Only windows that pass,
+A benchmark item's windows are its runs of `n` words. The hashes of their first
+words and of the whole set bits of two filters of fixed size that are shipped
+as literals; the scan of a document hashes the first words at each place and,
+where they pass, the whole window. Only windows that pass,
 a fraction of a per cent besides true ones, leave the row, and are verified by
 a join on the words themselves. The windows are broadcast when they are few and
 joined by a shuffle otherwise.
@@ -20,6 +21,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bits of the filter, and how many of them a window sets.
 FILTER_BITS, PROBES = 1 << 18, 3
+#: Words at a window's start that are looked up before the whole.
+HEAD = 3
 
 
 def words_of(name: str = "text") -> Column:
@@ -41,36 +44,48 @@ def _probe(hashed: Column, k: int) -> Column:
     return F.shiftrightunsigned(hashed, 20 * k).bitwiseAND(F.lit(FILTER_BITS - 1))
 
 
-def _filter_words(windows: DataFrame) -> list[int]:
-    hashed = windows.select(F.xxhash64(F.split("window", " ")).alias("h"))
-    bits = hashed.select(F.explode(F.array(*(_probe(F.col("h"), k) for k in range(PROBES)))).alias("bit"))
+def _filter_of(hashes: DataFrame, probes: int) -> Column:
+    """The filter of a column h of hashes, as a literal array of 64-bit words."""
+    bits = hashes.select(F.explode(F.array(*(_probe(F.col("h"), k) for k in range(probes)))).alias("bit"))
     rows = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("set")
     )
     out = [0] * (FILTER_BITS >> 6)
     for word, bits_set in rows.collect():
         out[word] = bits_set
+    return F.expr(f"array({','.join(f'{x}L' for x in out)})")
+
+
+def _passes(hashed: Column, literal: Column, probes: int) -> Column:
+    out = F.lit(True)
+    for k in range(probes):
+        bit = _probe(hashed, k)
+        word = F.get(literal, F.shiftright(bit, 6).cast("int"))
+        out = out & (F.call_function("shiftrightunsigned", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
     return out
 
 
+def _head(words: Column, at: Column, length: int) -> Column:
+    """Hash of the first words of the window at `at`, from 1."""
+    return F.xxhash64(*(F.get(words, at + (k - 1)) for k in range(min(HEAD, length))))
+
+
 def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, keep: list[str]) -> DataFrame:
     """`keep` columns and n_words of each row, and per verified window its start, length and items."""
     windows = cut(benchmark_windows(benchmark, n))
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
-    literal = F.expr(f"array({','.join(f'{x}L' for x in _filter_words(windows))})")
-
-    def passes(hashed: Column) -> Column:
-        out = F.lit(True)
-        for k in range(PROBES):
-            bit = _probe(hashed, k)
-            word = F.get(literal, F.shiftright(bit, 6).cast("int"))
-            out = out & (F.call_function("shiftrightunsigned", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        return out
+    split = windows.withColumn("words", F.split("window", " "))
+    whole = _filter_of(split.select(F.xxhash64("words").alias("h")), PROBES)
+    heads = {k: _filter_of(split.filter(F.col("length") == k).select(_head(F.col("words"), F.lit(1), k).alias("h")), 1) for k in lengths}
 
     def found(length: int) -> Column:
         last = F.size("words") - length + 1
         starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        own = F.filter(starts, lambda i: passes(F.xxhash64(F.slice("words", i, length))))
+        own = F.filter(
+            starts,
+            lambda i: _passes(_head(F.col("words"), i, length), heads[length], 1)
+            & _passes(F.xxhash64(F.slice("words", i, length)), whole, PROBES),
+        )
         return F.transform(
             own,
             lambda i: F.struct(
