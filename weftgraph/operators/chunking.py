@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_SIZE, OVERLAP = 5, 1
 
@@ -51,13 +52,13 @@ def sentence_chunks(articles: DataFrame, size: int = CHUNK_SIZE, overlap: int =
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """HTML character references as characters; Spark has no function for it."""
     return texts.map(lambda t: html.unescape(t) if t is not None else None)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def unescape_all(lists: pd.Series) -> pd.Series:
     return lists.map(lambda ts: [html.unescape(t) if t is not None else None for t in ts] if ts is not None else None)
 

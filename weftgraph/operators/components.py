@@ -86,5 +86,5 @@ def shortest_paths(pair_rows: DataFrame, wanted: DataFrame, directed: bool = Fal
 
     kinds = dict(wanted.dtypes)
     schema = f"graph_id {kinds['graph_id']}, src {kinds['src']}, dst {kinds['dst']}, path array<{kinds['src']}>, found boolean"
-    asked = wanted.select("graph_id", "src", "dst").distinct()
+    asked = wanted.select("graph_id", "src", "dst").distinct().toDF("graph_id", "src", "dst")  # new attributes
     return pair_rows.select("graph_id", "src", "dst").groupBy("graph_id").cogroup(asked.groupBy("graph_id")).applyInPandas(search, schema)

@@ -101,7 +101,8 @@ def beam_search(
 
     kind = dict(scored.dtypes)["graph_id"]
     edges = scored.select("graph_id", "edge_id", "score", "entities")
-    return edges.groupBy("graph_id").cogroup(starts.select("graph_id", "entity_id").groupBy("graph_id")).applyInPandas(
+    own = starts.select("graph_id", "entity_id").toDF("graph_id", "entity_id")  # new attributes: both sides may stem from one table
+    return edges.groupBy("graph_id").cogroup(own.groupBy("graph_id")).applyInPandas(
         walk, f"graph_id {kind}, place long, edge_id string, score double"
     )
 

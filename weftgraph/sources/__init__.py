@@ -1 +1 @@
-
+"""Readers, writers, caches and extractor backends."""

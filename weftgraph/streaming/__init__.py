@@ -1 +1 @@
-
+"""Graphs from a stream of facts."""
