@@ -68,7 +68,7 @@ def q05_content_key_dedup(spark, sf):
 
 
 @query(r"""with d as (select doc_id, regexp_extract(text, '[A-Za-z]+ ([A-Za-z]+)', 1) as answer, string_split(text, '. ') as s from documents where lang = 'en')
- select doc_id, coalesce(lower(answer) not in ('', 'yes', 'no') and len(list_filter(s, lambda x: regexp_matches(lower(x), '\b' || lower(answer) || '\b'))) > 0, false) as grounded from d""")
+ select doc_id, coalesce(lower(answer) not in ('', 'yes', 'no') and len(list_filter(s, lambda x: regexp_matches(lower(x), '(^|[^\p{L}\p{N}_])' || lower(answer) || '($|[^\p{L}\p{N}_])'))) > 0, false) as grounded from d""")
 def q06_text_grounding(spark, sf):
     docs = A.table(spark, sf, "documents").filter("lang = 'en'")
     answer = F.regexp_extract("text", "[A-Za-z]+ ([A-Za-z]+)", 1)
