@@ -4,18 +4,18 @@ A string of `length` bytes that occurs twice has the same least GRAM-byte gram,
 its anchor, at both places. Starts of strings that follow each other and share
 an anchor form a segment; equal strings are always in segments of one anchor.
 
-1. One scan sends the top bits of every anchor, packed, to slices of a filter
-   that tells which may occur twice. The filter has a fixed size; when a corpus
-   outgrows it more segments pass, and results stay the same.
-2. A second scan cuts out the segments of such anchors. Equal segments of a
-   task are folded at once: all but the first place are repeats as a whole.
+1. One scan sends hashes of every anchor, and of the anchor with the bytes on
+   its left or right (each string holds one of the two), packed, to slices that
+   count them. Those that occur twice make a Bloom filter of a fixed size; when
+   a corpus outgrows it more segments pass, and results stay the same.
+2. A second scan cuts out segments that pass. Equal segments of a task are
+   folded at once: all but the first place are repeats as a whole. The strings
+   of anchors that occur more than HOT times go one by one, each its own group.
 3. Segments meet by anchor, first places first. Where an anchor's segments
    differ, they are indexed: the Burrows-Wheeler transform of their text, in
    the order of contexts of `length` bytes and places, is kept as runs with a
    sampled place for each run, and the segments are streamed past it. A start
    whose run sample is an earlier place is a repeat.
-   An anchor with more than HOT segments isn't held in one task: its strings
-   are compared by their digests in an aggregation instead.
 4. Spans of repeats are joined to the rows, and the bytes left are hashed.
 
 Places are ordered by doc_id, then for rows that share one by a hash of the
@@ -26,22 +26,24 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from hashlib import blake2b, sha256
+from hashlib import sha256
 
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from .common import cut, if_small, table
+from .common import table
 
 LENGTH = 100
 GRAM = 32
-FILTER_BITS, SLICES = 29, 64
+#: Bits of the filter, as a power of two, bits set for a value, and bits of a value.
+FILTER_BITS, PROBES, VALUE_BITS = 29, 3, 40
 #: Bytes of text hashed at once; a longer text is taken in pieces.
 PIECE = 1 << 19
-#: Bytes of segments indexed at once, and segments of an anchor that are held in one task.
+#: Bytes of segments indexed at once, and occurrences of an anchor from which its strings go one by one.
 INDEX_BYTES, HOT = 1 << 21, 20_000
 _PLACE = np.uint64((1 << 20) - 1)
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -61,9 +63,14 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(data: np.ndarray, ends: list[tuple[int, int]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, anchor hash) of the segments of texts at (begin, end) in `data`."""
-    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+def segments(data: np.ndarray, ends: list[tuple[int, int]], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Segments of texts at (begin, end) in `data`: first start, last start, anchor's place, and three hashes:
+    of the anchor, of it with the bytes on its left, and with those on its right.
+
+    A string whose anchor stands at its middle or beyond holds the bytes on the
+    left, any other those on the right; a hash is 0 where no start needs it.
+    """
+    none = *(np.empty(0, np.int64) for _ in range(3)), *(np.empty(0, np.uint64) for _ in range(3))
     if len(data) < length:
         return none
     grams = _grams(data)
@@ -87,7 +94,22 @@ def segments(data: np.ndarray, ends: list[tuple[int, int]], length: int = LENGTH
     stays = np.zeros(len(keys), bool)
     stays[:-1] = same[1:] & valid[1:-1]
     last = np.flatnonzero(valid[:-1] & ~stays)
-    return first, last, grams[anchor[first]]
+    at = anchor[first]
+    half = (length - GRAM) // 2
+    base, top = grams[at], len(grams) - 1
+
+    def beside(*shifts: int) -> np.ndarray:
+        out = base * _P[1]
+        for k, shift in enumerate(shifts):
+            out = (out ^ grams[np.clip(at + shift, 0, top)]) * _P[k % 2 + 2]
+            out ^= out >> np.uint64(31)
+        return out | np.uint64(1)
+
+    left = np.where(first <= at - half, beside(-half, -GRAM), np.uint64(0))
+    # starts past the middle have length - GRAM - half + 1 bytes or more on the right
+    more = length - GRAM - half + 1
+    right = np.where(last > at - half, beside(GRAM, more), np.uint64(0))
+    return first, last, at, base, left, right
 
 
 def pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[bytes, list[tuple[int, int]], list[tuple[int, int]]]]:
@@ -116,57 +138,87 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _repeated_anchors(docs: DataFrame, length: int, bits: int) -> list[bytes]:
-    """The filter's slices, compressed: bit v is set if an anchor with top bits v occurs twice."""
-    per_slice = (1 << bits) // SLICES
+def _positions(values: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Places of values in a slice of the filter with so many bits."""
+    for k in range(PROBES):
+        yield ((values * _P[k]) >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _hashes(data: bytes, ends: list[tuple[int, int]], length: int) -> np.ndarray:
+    *_, base, left, right = segments(np.frombuffer(data, np.uint8), ends, length)
+    every = np.concatenate([base, left[left > 0], right[right > 0]])
+    return every >> np.uint64(64 - VALUE_BITS)
+
+
+def _repeated(docs: DataFrame, length: int, bits: int, hot: int) -> tuple[list[bytes], np.ndarray]:
+    """The filter of hashes that occur twice, in compressed slices, and the hashes that occur more than `hot` times."""
+    # a slice's owner holds its values, so there are more slices for more input
+    slices = 64
+    while slices < 2 * docs.rdd.getNumPartitions() and slices < 1 << 14:
+        slices *= 2
+    per_slice, own_bits = (1 << VALUE_BITS) // slices, (1 << bits) // slices
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
         def packed() -> pa.RecordBatch:
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(values, np.arange(1, SLICES, dtype=np.uint64) * np.uint64(per_slice))
-            rows = [
-                (v.astype(np.uint32).tobytes(), np.packbits(t > 1).tobytes())
-                for v, t in zip(np.split(values, cuts), np.split(times, cuts), strict=True)
-            ]
+            cuts = np.searchsorted(values, np.arange(1, slices, dtype=np.uint64) * np.uint64(per_slice))
+            times = np.minimum(times, 65535).astype(np.uint16)
+            seen, often = [], []
+            for v, t in zip(np.split(values, cuts), np.split(times, cuts), strict=True):
+                seen.append(zlib.compress(np.diff(v, prepend=np.uint64(0)).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1))
+                often.append(zlib.compress(t.tobytes(), 1))
             return pa.RecordBatch.from_pydict({
-                "slice": pa.array(range(SLICES), pa.int32()),
-                "seen": pa.array([r[0] for r in rows], pa.binary()), "twice": pa.array([r[1] for r in rows], pa.binary()),
+                "slice": pa.array(range(slices), pa.int32()), "seen": pa.array(seen, pa.binary()), "times": pa.array(often, pa.binary()),
             })
 
         for batch in batches:
             for data, ends, _ in pieces(_bytes(batch.column(0)), length):
-                _, _, anchors = segments(np.frombuffer(data, np.uint8), ends, length)
-                held.append(anchors >> np.uint64(64 - bits))
-                count += len(anchors)
-            if count > 4_000_000:
+                held.append(_hashes(data, ends, length))
+                count += len(held[-1])
+            if count > 6_000_000:
                 yield packed()
                 held, count = [], 0
         if held:
             yield packed()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        own: dict[int, list] = {}
         for batch in batches:
-            for k, seen, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k not in own:
-                    own[k] = np.zeros(per_slice, bool), np.zeros(per_slice, bool)
-                once, more = own[k]
-                at = np.frombuffer(seen, np.uint32).astype(np.int64) - k * per_slice
-                more[at[once[at] | np.unpackbits(np.frombuffer(twice, np.uint8), count=len(at)).astype(bool)]] = True
-                once[at] = True
-        yield pa.RecordBatch.from_pydict({
-            "slice": pa.array(own, pa.int32()),
-            "bits": pa.array([zlib.compress(np.packbits(more).tobytes(), 1) for _, more in own.values()], pa.binary()),
-        })
-
-    scanned = docs.select("text").mapInArrow(scan, "slice int, seen binary, twice binary")
-    rows = scanned.repartition(SLICES, "slice").mapInArrow(add_up, "slice int, bits binary").collect()
-    empty = zlib.compress(bytes(per_slice // 8), 1)
-    out = [empty] * SLICES  # at most 2^bits / 8 bytes in all
-    for k, blob in rows:
+            for k, seen, often in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # bytes stand by their place in the value, which packs better
+                steps = np.frombuffer(zlib.decompress(seen), np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(-1)
+                own.setdefault(k, []).append((np.cumsum(steps, dtype=np.uint64), np.frombuffer(zlib.decompress(often), np.uint16)))
+        for k, parts in own.items():
+            values, place = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+            times = np.bincount(place, np.concatenate([t for _, t in parts]), len(values))
+            filled = np.zeros(own_bits, bool)
+            for at in _positions(values[times > 1], own_bits):
+                filled[at] = True
+            yield pa.RecordBatch.from_pydict({
+                "slice": pa.array([k], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(filled).tobytes(), 1)], pa.binary()),
+                "hot": pa.array([values[times > hot].tobytes()], pa.binary()),
+            })
+
+    scanned = docs.select("text").mapInArrow(scan, "slice int, seen binary, times binary")
+    rows = scanned.repartition(slices, "slice").mapInArrow(add_up, "slice int, bits binary, hot binary").collect()
+    # at most 2^bits / 8 bytes, and a hash for every `hot` anchors of the corpus
+    out = [zlib.compress(bytes(own_bits // 8), 1)] * slices
+    for k, blob, _ in rows:
         out[k] = blob
+    return out, np.sort(np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.uint64))
+
+
+def _passes(bitmap: np.ndarray, hashes: np.ndarray, slices: int) -> np.ndarray:
+    """Which hashes the filter holds; 0 stands for none."""
+    values = hashes >> np.uint64(64 - VALUE_BITS)
+    own_bits = len(bitmap) * 8 // slices
+    start = (values // np.uint64((1 << VALUE_BITS) // slices)).astype(np.int64) * own_bits
+    out = hashes > 0
+    for at in _positions(values, own_bits):
+        at += start
+        out &= (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     return out
 
 
@@ -229,21 +281,25 @@ def indexed_repeats(group: list[list[tuple]], length: int) -> Iterator[tuple]:
         yield doc, part, start + int(offset[a]), start + int(offset[b]) + length
 
 
-_SEGMENTS = "anchor long, doc_id long, part long, begin long, end long, segment binary"
+_SEGMENTS = "anchor long, doc_id long, part long, begin int, end int, segment binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(),) * 5 + (pa.binary(),)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
     names = ("anchor", "doc_id", "part", "begin", "end", "segment")
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
 
-def _cut_out(docs: DataFrame, filter_slices: list[bytes], length: int, bits: int) -> DataFrame:
-    """Segments of anchors that pass the filter, a task's first places only; rows without a segment are repeats."""
-    shared = docs.sparkSession.sparkContext.broadcast(filter_slices)
+def _cut_out(docs: DataFrame, length: int, bits: int, hot: int) -> DataFrame:
+    """Segments that pass the filter, a task's first places only; rows without a segment are repeats."""
+    filter_slices, hot_values = _repeated(docs, length, bits, hot)
+    slices = len(filter_slices)
+    shared = docs.sparkSession.sparkContext.broadcast((filter_slices, hot_values))
+    half = (length - GRAM) // 2
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(b"".join(map(zlib.decompress, shared.value)), np.uint8)
+        bitmap = np.frombuffer(b"".join(map(zlib.decompress, shared.value[0])), np.uint8)
+        hot_ones = set(shared.value[1].tolist())
         best: dict[bytes, tuple] = {}
         out: list[tuple] = []
 
@@ -252,25 +308,44 @@ def _cut_out(docs: DataFrame, filter_slices: list[bytes], length: int, bits: int
             best.clear()
             return rows
 
+        def repeat(anchor: int, doc: int, part: int, begin: int, end: int) -> None:
+            if out and out[-1][1:3] == (doc, part) and out[-1][3] <= begin <= out[-1][4]:
+                out[-1] = (*out[-1][:4], max(end, out[-1][4]), None)
+            else:
+                out.append((anchor, doc, part, begin, end, None))
+
+        def take(own: bytes, now: tuple) -> None:
+            old = best.get(own)
+            if old is None:
+                best[own] = now
+                return
+            if now == old:  # the row is there twice
+                return
+            if now < old:
+                best[own], now = now, old
+            repeat(now[3], now[0], now[1], now[2], now[2] + len(own))
+
         for batch in batches:
             doc_ids, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for data, ends, owners in pieces(_bytes(batch.column(2)), length):
-                first, last, anchors = segments(np.frombuffer(data, np.uint8), ends, length)
-                top = (anchors >> np.uint64(64 - bits)).astype(np.int64)
-                hit = np.flatnonzero(bitmap[top >> 3] >> (7 - (top & 7)).astype(np.uint8) & 1)
+                first, last, at, base, left, right = segments(np.frombuffer(data, np.uint8), ends, length)
+                on_left, on_right = _passes(bitmap, left, slices), _passes(bitmap, right, slices)
+                # only the half that may repeat is cut out
+                first = np.where(on_left, first, np.maximum(first, at - half + 1))
+                last = np.where(on_right, last, np.minimum(last, at - half))
+                hit = np.flatnonzero(on_left | on_right)
                 owner = np.searchsorted([e for _, e in ends], first[hit], "right")
-                named = anchors[hit].view(np.int64).tolist()
-                for s, e, k, anchor in zip(first[hit].tolist(), last[hit].tolist(), owner.tolist(), named, strict=True):
+                named = base[hit].view(np.int64).tolist()
+                top = (base[hit] >> np.uint64(64 - VALUE_BITS)).tolist()
+                for s, e, k, anchor, value in zip(first[hit].tolist(), last[hit].tolist(), owner.tolist(), named, top, strict=True):
                     text, place = owners[k]
-                    own = data[s : e + length]
-                    now = (doc_ids[text], parts[text], s - ends[k][0] + place, anchor)
-                    old = best.get(own)
-                    if old is None:
-                        best[own] = now
-                        continue
-                    if now < old:
-                        best[own], now = now, old
-                    out.append((None, now[0], now[1], now[2], now[2] + len(own), None))
+                    begin = s - ends[k][0] + place
+                    if value in hot_ones:
+                        for i in range(e - s + 1):
+                            own = data[s + i : s + i + length]
+                            take(own, (doc_ids[text], parts[text], begin + i, xxh3_64_intdigest(own) - (1 << 63)))
+                    else:
+                        take(data[s : e + length], (doc_ids[text], parts[text], begin, anchor))
                 if len(best) > 300_000:
                     out += flushed()
             if out:
@@ -282,98 +357,58 @@ def _cut_out(docs: DataFrame, filter_slices: list[bytes], length: int, bits: int
     return docs.select("doc_id", "part", "text").mapInArrow(scan, _SEGMENTS)
 
 
-def _resolve(cut_out: DataFrame, length: int, index_bytes: int, hot: int) -> DataFrame:
-    """Repeats (rows without a segment), and segments of hot anchors as they are."""
+def _resolve(cut_out: DataFrame, length: int, index_bytes: int) -> DataFrame:
+    """(doc_id, part, begin, end) of repeats, from segments that come sorted by anchor and place."""
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         waiting: list[list[tuple]] = []
-        size, group, anchor, is_hot = 0, [], None, False
+        size, firsts, anchor = 0, {}, None
 
         def close() -> int:
             """Ends a group; gives the bytes that now wait for an index."""
-            firsts: dict[bytes, tuple] = {}
-            for doc, part, begin, segment in group:
-                if segment in firsts:
-                    out.append((None, doc, part, begin, begin + len(segment), None))
-                else:
-                    firsts[segment] = (doc, part, begin, segment)
-            if len(firsts) > 1:
-                waiting.append(list(firsts.values()))
-                return sum(map(len, firsts))
-            return 0
+            if len(firsts) < 2:
+                return 0
+            waiting.append([(*place, segment) for segment, place in firsts.items()])
+            return sum(map(len, firsts))
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "part", "begin", "end"]
+            )
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)]
-            for a, doc, part, begin, segment in zip(*columns, strict=True):
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for a, doc, part, begin, end, segment in zip(*columns, strict=True):
+                if segment is None:
+                    out.append((doc, part, begin, end))
+                    continue
                 if a != anchor:
-                    if not is_hot and len(group) > 1:
-                        size += close()
-                    group, anchor, is_hot = [], a, False
+                    size += close()
+                    firsts, anchor = {}, a
                     if size > index_bytes:
-                        out += [(None, *r, None) for r in indexed_repeats(waiting, length)]
+                        out += indexed_repeats(waiting, length)
                         waiting, size = [], 0
-                if not is_hot:
-                    group.append((doc, part, begin, segment))
-                    if len(group) <= hot:
-                        continue
-                    is_hot = True
-                    out += [(a, d, p, b, b + len(s), s) for d, p, b, s in group]
-                    group = []
-                else:
-                    out.append((a, doc, part, begin, begin + len(segment), segment))
+                place = firsts.setdefault(segment, (doc, part, begin))
+                if place != (doc, part, begin):
+                    out.append((doc, part, begin, end))
             if out:
-                yield _batch(out)
+                yield batch_of(out)
                 out = []
-        if not is_hot and len(group) > 1:
-            close()
+        close()
         if waiting:
-            out += [(None, *r, None) for r in indexed_repeats(waiting, length)]
+            out += indexed_repeats(waiting, length)
         if out:
-            yield _batch(out)
+            yield batch_of(out)
 
-    return cut_out.mapInArrow(resolve, _SEGMENTS)
-
-
-def _hot_repeats(rows: DataFrame, length: int) -> DataFrame:
-    """Repeats among segments of hot anchors: every string by its digest, the first place of each stays."""
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in (1, 2, 3, 5)]
-            for lo in range(0, batch.num_rows, 1000):
-                out = [
-                    (blake2b(segment[k : k + length], digest_size=16).digest(), doc, part, begin + k)
-                    for doc, part, begin, segment in zip(*(c[lo : lo + 1000] for c in columns), strict=True)
-                    for k in range(len(segment) - length + 1)
-                ]
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["digest", "doc_id", "part", "begin"]
-                )
-
-    every = rows.mapInArrow(strings, "digest binary, doc_id long, part long, begin long")
-    place = F.struct("doc_id", "part", "begin")
-    first = every.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = every.join(first.select("digest", "first"), "digest").filter(place != F.col("first"))
-    return again.select("doc_id", "part", "begin", (F.col("begin") + length).alias("end"))
+    return cut_out.mapInArrow(resolve, "doc_id long, part long, begin int, end int")
 
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH, bits: int = FILTER_BITS, index_bytes: int = INDEX_BYTES, hot: int = HOT) -> DataFrame:
-    """(doc_id, part, begin, end), checkpointed: spans of `docs` (doc_id, part, text) that occur earlier; they may overlap."""
-    whole = _cut_out(docs, _repeated_anchors(docs, length, bits), length, bits)
-    found = cut(whole)
-    met = found.filter("segment is not null").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "part", "begin")
-    resolved = cut(_resolve(met, length, index_bytes, hot))
-    spans = [x.filter("segment is null").select("doc_id", "part", "begin", "end") for x in (found, resolved)]
-    left = resolved.filter("segment is not null")
-    if not left.isEmpty():
-        # copies of a segment that stay in one task's rows were folded; the rest meet by digest
-        spans.append(_hot_repeats(left, length))
-    out = spans[0]
-    for more in spans[1:]:
-        out = out.unionAll(more)
-    return out
+    """(doc_id, part, begin, end): spans of `docs` (doc_id, part, text) that occur earlier; they may overlap."""
+    met = _cut_out(docs, length, bits, hot).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "part", "begin")
+    return _resolve(met, length, index_bytes)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -402,12 +437,8 @@ def remove_repeats(docs: DataFrame, **more) -> DataFrame:
     )
     spans = repeat_spans(keyed.select(F.col("key").alias("doc_id"), "part", "text"), **more)
     # spans of a row: as many as its text has place for
-    listed = cut(
-        spans.groupBy("doc_id", "part").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-        .select(F.col("doc_id").alias("of"), F.col("part").alias("of_part"), "spans")
-    )
-    if listed.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= 500_000:
-        listed = F.broadcast(listed)
+    listed = spans.groupBy("doc_id", "part").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    listed = listed.select(F.col("doc_id").alias("of"), F.col("part").alias("of_part"), "spans")
     joined = keyed.join(listed, (F.col("key") == F.col("of")) & (F.col("part") == F.col("of_part")), "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
