@@ -18,9 +18,11 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -305,6 +307,8 @@ def trained(sentences: int = 300, epochs: int = 30, seed: int = 7) -> np.ndarray
 def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray) -> list[tuple[int, int, int]]:
     """Segments of the field that touch no base span."""
     out, taken = [], sorted((s, e) for _, s, e in base)
+    starts = [s for s, _ in taken]
+    reach = list(accumulate((e for _, e in taken), max))  # how far spans up to here go
     for start, end in zones(text):
         # a zone doesn't begin or end inside a token
         while start and (text[start - 1].isalnum() and text[start].isalnum()) and start > 0 and not text[start].isspace():
@@ -320,7 +324,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray
         places.append(end)
         for kind, i, j in decode(tokens, weights):
             s, e = places[i], places[j - 1] + len(tokens[j - 1])
-            if not any(s < e2 and s2 < e for s2, e2 in taken):
+            before = bisect_left(starts, e)
+            if not before or reach[before - 1] <= s:
                 out.append((kind, s, e))
     return out
 
