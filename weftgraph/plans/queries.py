@@ -527,3 +527,159 @@ def q54_shortest_paths(spark, sf):
     e = _edges(spark, sf)
     ends = hypergraph.incidence(e).groupBy("graph_id").agg(F.min("entity_id").alias("src"), F.max("entity_id").alias("dst"))
     return components.shortest_paths(projection.pairs(e), ends)
+
+
+@query("select page_id, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title from pages")
+def q55_unescaped_titles(spark, sf):
+    """Character references of page titles as characters."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return A.table(spark, sf, "pages").select("page_id", chunking.unescape(title).alias("title"))
+
+
+def _scored(spark, sf):
+    chunks = A.order_chunks(spark, sf)
+    e = A.order_edges(chunks)
+    return chunks, e, retrieve.scored_edges(A.audit_samples(spark, sf, chunks), e)
+
+
+@query()
+def q56_graph_evidence(spark, sf):
+    _, e, scored = _scored(spark, sf)
+    return retrieve.graph_evidence(scored, retrieve.khop_edges(_starts(e), hypergraph.incidence(e)))
+
+
+@query()
+def q57_guided_evidence(spark, sf):
+    _, e, scored = _scored(spark, sf)
+    return retrieve.guided_evidence(scored, _starts(e), least=0.0)
+
+
+@query()
+def q58_contexts(spark, sf):
+    """Facts by condition: none, sentences by similarity, a neighbourhood, a guided walk."""
+    chunks, e, scored = _scored(spark, sf)
+    samples = A.audit_samples(spark, sf, chunks)
+    near = retrieve.khop_edges(_starts(e), hypergraph.incidence(e))
+    return retrieve.contexts(samples, {
+        "text_rag": retrieve.text_evidence(samples, chunks), "graph": retrieve.graph_evidence(scored, near), "graph_guided": retrieve.guided_evidence(scored, _starts(e)),
+    })
+
+
+@query(f"""with {O.ANSWERS} select condition, count(*) filter (where n_facts < 8) as n_short, round(avg(n_facts), 6) as avg_facts,
+ round(avg(em) filter (where n_facts < 6), 6) as em_short, round(avg(em) filter (where n_facts >= 6), 6) as em_full from sc where starts_with(condition, 'graph') group by condition""")
+def q59_short_budgets(spark, sf):
+    s = metrics.scored_answers(A.answers(spark, sf))
+    short = F.col("n_facts") < 6
+    return s.filter(F.startswith("condition", F.lit("graph"))).groupBy("condition").agg(
+        F.count_if(F.col("n_facts") < 8).alias("n_short"), F.round(F.avg("n_facts"), 6).alias("avg_facts"),
+        F.round(F.avg(F.when(short, F.col("em"))), 6).alias("em_short"), F.round(F.avg(F.when(~short, F.col("em"))), 6).alias("em_full"),
+    )
+
+
+@query(f"""with recursive {O.AUDIT}, x as (select sm.g, titles[len(titles)] as title from sm),
+ b as (select x.g, tn.node from x join tn on tn.g = x.g and tn.title = x.title), nr as (select distinct an.g, w.dst as node from an join both_ways w on w.g = an.g and w.src = an.node),
+ k as (select coalesce(p.g, q.g) as graph_id, coalesce(p.c, 0) as answers, coalesce(q.c, 0) as title_nodes from (select g, count(*) as c from an group by g) p full join (select g, count(*) as c from b group by g) q on p.g = q.g)
+ select graph_id, answers, title_nodes, (select count(*) from an join b using (g, node) where an.g = graph_id) as shared, (select count(*) from nr join b using (g, node) where nr.g = graph_id) as near from k""")
+def q60_self_loop_diagnosis(spark, sf):
+    chunks = A.order_chunks(spark, sf)
+    graph = flows.graph_of(A.order_edges(chunks), chunks)
+    samples = A.audit_samples(spark, sf, chunks)
+    last = samples.select("graph_id", F.element_at(F.transform("gold", lambda g: g["title"]), -1).alias("title"))
+    a = resolve.resolve_entities(samples.select("graph_id", F.col("answer").alias("label")), graph.nodes)
+    return metrics.self_loop_diagnosis(a, resolve.resolve_titles(last, graph.nodes, graph.provenance()), graph.neighbours())
+
+
+@query(f"with recursive {O.AUDIT} select hop_type, count(*) as n, round_even(100 * count(*) / sum(count(*)) over (), 1) as percent from rep group by hop_type")
+def q61_hop_types(spark, sf):
+    return metrics.hop_types(A.audit_samples(spark, sf, A.order_chunks(spark, sf)))
+
+
+@query(f"with recursive {O.AUDIT} select count(*) filter (where text_grounded and failure_mode <> 'connected') as n from rep")
+def q62_grounded_not_connected(spark, sf):
+    return metrics.grounded_not_connected(_audited(spark, sf)[2])
+
+
+@query(f"with {O.ORDERS} select distinct inc.g as graph_id, inc.node as entity_id, e.ok, e.rel as relation, len(e.ents) as arity from inc join e on e.g = inc.g and e.ok = inc.ok")
+def q63_edges_for_entity(spark, sf):
+    e = _edges(spark, sf)
+    own = hypergraph.edges_for_entity(hypergraph.incidence(e), e)
+    return own.select("graph_id", "entity_id", F.col("edge_seq.chunk_idx").alias("ok"), "relation", F.size("entities").cast("long").alias("arity"))
+
+
+@query(f"""with {O.ORDERS}, r as (select g, avg(case when list_has_any(string_split(rel, '_'), string_split(case when ok % 2 = 0 then rel else 'nothing' end, ' ')) then 0.0 else 1.0 end) as rate from e group by g)
+ select round(avg(rate), 9) as mean_rate, count(*) as graphs from r""")
+def q64_corpus_contamination(spark, sf):
+    e = _edges(spark, sf)
+    said = F.concat(F.lit("("), F.when(F.col("edge_seq.chunk_idx") % 2 == 0, F.col("relation")).otherwise("nothing"), F.lit(")"))
+    out = metrics.corpus_contamination(metrics.contamination(e.withColumn("sentence", said)))
+    return out.withColumn("mean_rate", F.round("mean_rate", 9))
+
+
+@query("select doc_id, quality from labels order by md5('0:' || doc_id), doc_id limit 30")
+def q65_fixed_sample(spark, sf):
+    return metrics.fixed_sample(A.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query(f"""with {O.NATIONS}, d as (
+  select x.g, x.ok, x.i, y.i as j, x.node as a, y.node as b from inc x join inc y on x.g = y.g and x.ok = y.ok and x.i < y.i and x.node <> y.node),
+ f as (select g, ok, node, min(i) as i from inc group by all), p as (select distinct x.g, x.ok, x.node as src, y.node as dst from f x join f y on x.g = y.g and x.ok = y.ok and x.i < y.i)
+ select p.g as graph_id, src, dst, count(*) as n_edges, bool_or(gold) as is_gold from p join e on e.g = p.g and e.ok = p.ok group by all""")
+def q66_directed_pairs(spark, sf):
+    p = projection.pairs(A.nation_edges(spark, sf), directed=True)
+    return p.select("graph_id", "src", "dst", F.size("edge_ids").cast("long").alias("n_edges"), "is_gold")
+
+
+@query()
+def q67_question_entities(spark, sf):
+    docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("graph_id"), F.substring("text", 1, 200).alias("question"))
+    return facts.question_entities(docs, facts.RuleExtractor())
+
+
+@query(f"with w as (select ['{"','".join(r for _, r in _RAW)}'][o_orderkey % 14 + 1] as reason from orders) select case when reason = 'valid' then 'valid' else 'rejected:' || reason end as measure, count(*) as n from w group by 1")
+def q68_extractor_stats(spark, sf):
+    fact = F.get(F.array(*(F.lit(f) for f, _ in _RAW)), (F.col("o_orderkey") % 14).cast("int"))
+    sentences = F.array(F.lit("x"), F.lit("y"), F.lit("z"))
+    rows = A.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("chunk_id"), F.concat(F.lit("["), fact, F.lit("]")).alias("raw"), sentences.alias("sentences"))
+    return facts.extractor_stats(facts.checked_facts(rows))
+
+
+@query()
+def q69_repair_actions(spark, sf):
+    """Agent calls with both kinds of refusal, and the chunks that sound ones read."""
+    chunks = A.order_chunks(spark, sf)
+    graph = flows.graph_of(A.order_edges(chunks), chunks)
+    src = F.when(F.col("graph_id") % 5 == 0, " ").when(F.col("graph_id") % 5 == 1, "nobody").otherwise(F.col("entity_id"))
+    calls = _starts(graph.edges).select("graph_id", F.lit(0).alias("target_pos"), src.alias("src"), F.lit("anyone").alias("dst"))
+    names = resolve.resolve_entities(calls.select("graph_id", F.col("src").alias("label")), graph.nodes)
+    return repair.repair_actions(calls, names, graph.places, graph.chunks)
+
+
+@query(f"""with {O.ORDERS}, s as (select g, min(node) as node from nodes group by g), m as (
+  select distinct s.g, inc.ok from s join inc on inc.g = s.g and inc.node = s.node),
+ r as (select *, row_number() over (partition by g order by ok) as n from m) select g as graph_id, ok from r where n <= 3""")
+def q70_source_chunks(spark, sf):
+    """Up to three chunks, in sample order, that mention a graph's least node."""
+    chunks = A.order_chunks(spark, sf)
+    graph = flows.graph_of(A.order_edges(chunks), chunks)
+    ends = _starts(graph.edges).select("graph_id", F.lit(0).alias("target_pos"), F.col("entity_id").alias("src"), F.lit("none").alias("dst"))
+    names = resolve.resolve_entities(ends.select("graph_id", F.col("src").alias("label")), graph.nodes)
+    return repair.source_chunks(ends, names, graph.places, graph.chunks).select("graph_id", F.col("chunk_idx").alias("ok"))
+
+
+@query("""select l_orderkey % 7 as new_edges_of, cast(sum(l_linenumber) as bigint) as new_edges, count(*) filter (where l_linenumber > 0) as samples from lineitem group by 1""")
+def q71_repair_totals(spark, sf):
+    lines = A.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 7).alias("k"), F.col("l_linenumber").alias("new_edges"))
+    out = None
+    for k in range(7):
+        one = metrics.repair_totals(lines.filter(F.col("k") == k)).select(F.lit(k).alias("new_edges_of"), "new_edges", "samples")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query(f"with {O.ORDERS}, x as (select distinct inc.node from inc) select count(*) as known, (select count(*) from part) - count(*) as unknown from x")
+def q72_known_names(spark, sf):
+    """Parts that are nodes of some graph, and those that aren't: semi and anti join of labels and nodes."""
+    nodes = hypergraph.incidence(_edges(spark, sf)).select("entity_id").distinct()
+    parts = A.table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("entity_id"))
+    known = parts.join(nodes, "entity_id", "left_semi").agg(F.count("*").alias("known"))
+    return known.join(F.broadcast(parts.join(nodes, "entity_id", "left_anti").agg(F.count("*").alias("unknown"))))
