@@ -32,8 +32,10 @@ class Graph:
 
 
 def graph_of(edges: DataFrame, chunks: DataFrame) -> Graph:
+    """Derives a graph's tables. Edges and pairs are checkpointed, as all that follows reads them several times."""
+    edges = cut(edges)
     places = hypergraph.incidence(edges)
-    pairs = projection.pairs(edges)
+    pairs = cut(projection.pairs(edges))
     return Graph(edges, places, hypergraph.nodes(places), pairs, components.components(pairs), chunks)
 
 
