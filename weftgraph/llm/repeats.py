@@ -41,6 +41,8 @@ LENGTH = 100
 GRAM = 32
 #: Bits of the filter, as a power of two, bits set for a value, and bits of a value.
 FILTER_BITS, PROBES, VALUE_BITS = 29, 3, 40
+#: Bytes of input for each slice of the filter, beyond the least number of slices.
+SLICE_BYTES = 1 << 24
 #: Bytes of text hashed at once; a longer text is taken in pieces.
 PIECE = 1 << 19
 #: Bytes of segments indexed at once, and occurrences of an anchor from which its strings go one by one.
@@ -152,9 +154,9 @@ def _hashes(data: bytes, ends: list[tuple[int, int]], length: int) -> np.ndarray
 
 def _repeated(docs: DataFrame, length: int, bits: int, hot: int) -> tuple[list[bytes], np.ndarray]:
     """The filter of hashes that occur twice, in compressed slices, and the hashes that occur more than `hot` times."""
-    # a slice's owner holds its values, so there are more slices for more input
-    slices = 64
-    while slices < 2 * docs.rdd.getNumPartitions() and slices < 1 << 14:
+    # a slice's owner holds its values, so there are more slices for more input, by the planner's estimate of its size
+    size, slices = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), 64
+    while slices < size / SLICE_BYTES and slices < 1 << 14:
         slices *= 2
     per_slice, own_bits = (1 << VALUE_BITS) // slices, (1 << bits) // slices
 
