@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
+    "op7_repeats": repeats.ORACLE,
     "op8_url_filters": url_filters.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

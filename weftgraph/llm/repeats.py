@@ -461,3 +461,20 @@ def remove_repeats(docs: DataFrame, **more) -> DataFrame:
 
 def op7_repeats(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("text_left")
+
+
+ORACLE = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, p, md5(substr(h, 2 * p + 1, 200)) as k from (select doc_id, h, unnest(range(0, cast(length(h) // 2 - 99 as bigint))) as p from d)),
+g as (select doc_id, p from (select doc_id, p, row_number() over (partition by k order by doc_id, p) as i from w) where i > 1),
+m as (select *, case when p <= coalesce(max(p) over (partition by doc_id order by p rows between unbounded preceding and 1 preceding), -1000) + 100 then 0 else 1 end as opens from g),
+q as (select *, sum(opens) over (partition by doc_id order by p) as span from m),
+s as (select doc_id, min(p) as b, max(p) + 100 as e from q group by doc_id, span),
+x as (select doc_id, b, e, coalesce(lag(e) over (partition by doc_id order by b), 0) as last_e, row_number() over (partition by doc_id order by b desc) as from_end from s),
+k as (
+  select d.doc_id, string_agg(substr(h, cast(2 * last_e + 1 as bigint), cast(2 * (b - last_e) as bigint)) || case when from_end = 1 then substr(h, cast(2 * e + 1 as bigint)) else '' end, '' order by b) as kept,
+         sum(e - b) as removed, count(*) as n
+  from d join x using (doc_id) group by d.doc_id)
+select d.doc_id, length(h) // 2 as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(n, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join k using (doc_id)
+"""
