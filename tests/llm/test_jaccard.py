@@ -101,3 +101,20 @@ def test_components_of_a_long_path(spark):
     links = [(f"{i:03}", f"{i + 1:03}") for i in range(120) if i % 40 != 39] + [("900", "900")]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
     assert len(got) == 120 and all(c == f"{int(n) // 40 * 40:03}" for n, c in got.items())
+
+
+def test_postings_without_partners_go(spark):
+    rng = random.Random(6)
+    sizes = {k: rng.choice([1, 2, 5, 40]) for k in range(30)}
+    rows = [(k, bytes([k, i]) * 8, rng.randrange(20, 60), rng.randrange(4), 0, bytes([k, i % 3]) * 8) for k, m in sizes.items() for i in range(m)]
+    named = spark.createDataFrame(rows, "shingle long, class binary, n int, pos int, ahead int, component binary")
+    own = {longest: {(r.shingle, bytes(r["class"])) for r in jaccard._open(named, 85, longest).collect()} for longest in (3, 10, 512)}
+
+    def fits(x, y):
+        most = 1 + min(x[2] - x[3] - 1, y[2] - y[3] - 1)
+        return x[5] != y[5] and 100 * min(x[2], y[2]) >= 85 * max(x[2], y[2]) and 100 * most >= 85 * (x[2] + y[2] - most)
+
+    exact = {(x[0], x[1]) for x in rows for y in rows if x[0] == y[0] and fits(x, y)}
+    assert own[512] == exact
+    for longest in (3, 10):  # a long shingle stays whole where it goes on beyond what is held
+        assert exact <= own[longest] <= {(x[0], x[1]) for x in rows if sizes[x[0]] > longest} | exact
