@@ -15,10 +15,13 @@ copies, and only classes are compared.
    (fewest rarer shingles before it) leads, and only it is paired with the
    others. Pairs pass the length and positional filters, are made distinct,
    and are verified once on their texts, a suffix filter first. Links give
-   components; members that already share one with their leader need no pair.
+   components. After the first round only postings stay that may still pair
+   with one of another component.
 4. When a round links nothing more, the pairs left, those on one shingle but
-   still in different components, are all verified. So a group of k near
-   copies costs about k verifications, and no link between components is lost.
+   in different components, are made; they must share enough of their prefixes
+   to reach the similarity, and those that do are verified. So a group of k
+   near copies costs about k verifications, and no link between components is
+   lost.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -38,6 +42,8 @@ from .components import components
 
 #: Entries of the table of counts, and the slices it is summed in.
 COUNTS, SLICES = 1 << 20, 64
+#: Postings of a shingle up to which each is held against the others before pairs are made.
+LONG_RUN = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,7 +108,7 @@ def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
                 "slice": pa.nulls(len(sets), pa.int32()),
                 "counts": pa.nulls(len(sets), pa.binary()),
             })
-        blobs = [x.tobytes() for x in own.astype(np.uint32).reshape(SLICES, -1)]
+        blobs = [zlib.compress(x.tobytes(), 1) for x in own.astype(np.uint32).reshape(SLICES, -1)]
         yield pa.RecordBatch.from_pydict({
             "doc_id": pa.nulls(SLICES, pa.int64()),
             "n_shingles": pa.nulls(SLICES, pa.int64()),
@@ -118,7 +124,7 @@ def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(blob, np.uint32).astype(np.int64)
+                own = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64)
                 sums[k] = sums[k] + own if k in sums else own
         blobs = [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_pydict({"slice": pa.array(sums, pa.int32()), "counts": pa.array(blobs, pa.binary())})
@@ -131,9 +137,10 @@ def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def _postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(shingle, class, n, pos, ahead) of the prefixes, for shingles that two classes or more post; checkpointed.
+    """(shingle, class, n, pos, ahead, lead_class, lead_n, lead_pos) of the prefixes; cached for the caller to release.
 
-    ahead: such postings of the class before this one.
+    Only shingles that two classes or more post are there. ahead: such postings
+    of the class before this one. lead: the shingle's first posting by pos, n, class.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -163,53 +170,69 @@ def _postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> Data
                 })
 
     def not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shingle, so a row's class and its neighbours' tell; the last row waits for the next batch."""
-        held, held_goes = None, False
+        """Drops shingles of one class and names the first posting of each run.
+
+        Rows come sorted by shingle, so a row's neighbours tell; the last row
+        waits for the next batch, with the first of its run.
+        """
+        held, lead = None, None  # lead: set if the held row's run began before it
+
+        def named(batch: pa.RecordBatch, leads: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.binary(), pa.int32(), pa.int32())
+            own = [pa.array(c, t) for c, t in zip(zip(*leads, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "lead_class", "lead_n", "lead_pos"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            both = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            shingle, names = both.column("shingle").to_numpy(), both.column("class").to_pylist()
-            new = np.ones(len(names), bool)
-            new[1:] = [x != y for x, y in zip(names[1:], names, strict=False)]
-            new[1:] |= shingle[1:] != shingle[:-1]
-            if held is not None:
-                new[0] = True
-            rows = np.flatnonzero(new)
+            both = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            shingle, names = both.column(0).to_numpy(), both.column(1).to_pylist()
+            fresh = np.ones(len(names), bool)
+            fresh[1:] = [x != y for x, y in zip(names[1:], names, strict=False)]
+            fresh[1:] |= shingle[1:] != shingle[:-1]
+            rows = np.flatnonzero(fresh)
             shingle = shingle[rows]
-            same = shingle[1:] == shingle[:-1]
-            goes = np.zeros(len(rows), bool)
-            goes[1:] |= same
-            goes[:-1] |= same
-            goes[0] |= held is not None and held_goes
-            rest = both.take(rows[:-1][goes[:-1]])
-            held, held_goes = both.slice(rows[-1], 1).combine_chunks().to_batches()[0], bool(goes[-1])
-            if rest.num_rows:
-                yield from rest.to_batches()
-        if held is not None and held_goes:
-            yield held
+            same = np.concatenate([[False], shingle[1:] == shingle[:-1]])
+            goes = same.copy()
+            goes[:-1] |= same[1:]
+            goes[0] |= lead is not None
+            first = np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))
+            place = lambda k: tuple(both.column(c)[int(rows[k])].as_py() for c in (1, 2, 3))
+            of = {int(k): place(k) for k in np.unique(first[goes])}
+            if lead is not None:
+                of[0] = lead
+            out = np.flatnonzero(goes[:-1])
+            if len(out):
+                yield named(both.take(pa.array(rows[out])), [of[int(k)] for k in first[out]])
+            held = pa.Table.from_batches([both.slice(int(rows[-1]), 1)]).combine_chunks().to_batches()[0]
+            lead = of[int(first[-1])] if goes[-1] else None
+        if held is not None and lead is not None:
+            yield named(held, [lead])
 
     schema = "shingle long, class binary, n int, pos int"
     posted = docs.select("text").mapInArrow(post, schema)
     met = posted.repartition("shingle").sortWithinPartitions("shingle", "pos", "n", "class")
+    met = met.mapInArrow(not_alone, f"{schema}, lead_class binary, lead_n int, lead_pos int")
     ahead = Window.partitionBy("class").orderBy("pos")
-    return cut(met.mapInArrow(not_alone, schema).withColumn("ahead", F.row_number().over(ahead) - 1))
+    return met.withColumn("ahead", F.row_number().over(ahead) - 1).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _may_link(x: str, y: str, percent: int) -> Column:
+def _may_link(x: str, y: str, percent: int, most_ahead: str | None = None) -> Column:
     """Length and positional filters of two postings of one shingle.
 
     What two sets share before it stands in both prefixes, so is among the
     `ahead` postings that aren't alone; after it, the shorter rest bounds.
+    most_ahead: a column that y's `ahead` can't exceed, where that isn't there.
     """
-    n, n2, pos, pos2, ahead, ahead2 = (F.col(f"{side}{c}") for c in ("n", "pos", "ahead") for side in (x, y))
+    n, n2, pos, pos2 = (F.col(f"{side}{c}") for c in ("n", "pos") for side in (x, y))
+    ahead, ahead2 = F.col(f"{x}ahead"), F.col(most_ahead or f"{y}ahead")
     length = F.least(n, n2) * 100 >= F.greatest(n, n2) * percent
     most = F.least(ahead, ahead2) + 1 + F.least(n - pos - 1, n2 - pos2 - 1)
     return length & (most * 100 >= (n + n2 - most) * percent)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b, link) of each pair; checkpointed."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b, link) of each pair; checkpointed. Only texts of classes that stand in pairs are moved."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None  # a leader's pairs come one after another
@@ -222,15 +245,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                 out.append(linked(shingle_set(zlib.decompress(x), n), kept, percent))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "link": pa.array(out)})
 
-    left = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    pairs = cut(pairs.select("a", "b"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    texts = _class_texts(docs, classes, cut(wanted), n)
+
+    def side(name: str) -> DataFrame:
+        """Texts of the classes that stand on this side; a round has few leaders."""
+        own = texts.join(if_small(cut(pairs.select(F.col(name).alias("class")).distinct())), "class", "left_semi")
+        return own.select(F.col("class").alias(name), F.col("text").alias(f"text_{name}"))
+
+    joined = side("a").join(if_small(pairs), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     return cut(joined.mapInArrow(verify, "a binary, b binary, link boolean"))
 
 
 def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(class, text) for the classes in `wanted`, of one row each; checkpointed. Texts are compressed: pairs move them."""
-    reps = classes.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    reps = classes.join(if_small(wanted), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("rep"))
     reps = cut(reps.withColumnRenamed("class", "expected"))
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,44 +281,104 @@ def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int)
 
 def class_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, class) of all rows, and (node, component) of the classes that have links."""
-    spark = docs.sparkSession
     classes, counts = _classes(docs, n)
     postings = _postings(docs, counts, n, percent)
-    texts = _class_texts(docs, classes, postings.select("class").distinct(), n)
-    tried, links = spark.createDataFrame([], "a binary, b binary, link boolean"), None
-    named = postings.withColumn("component", F.col("class"))
+    # first round: what the lead's `ahead` would be is at most its place
+    fit = (F.col("class") != F.col("lead_class")) & _may_link("", "lead_", percent, "lead_pos")
+    pairs = postings.filter(fit).groupBy(F.col("class").alias("a"), F.col("lead_class").alias("b")).count()
+    # a pair that meets on one shingle is most often chance: it's left to the last round, which can tell
+    tried = _verified(pairs.filter("count > 1"), docs, classes, n, percent)
+    labels = components(tried.filter("link"))
+    open_ = _open(_labelled(postings.select("shingle", "class", "n", "pos", "ahead"), labels), percent)
+    postings.unpersist()
     star = True
     while True:
-        groups = named.groupBy("shingle").agg(
-            F.min(F.struct("pos", "n", "ahead", "class", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")
-        ).filter("lo <> hi")
+        lead = F.min(F.struct("pos", "n", "ahead", "class", "component")).alias("lead")
         if star:
-            both = named.join(groups.select("shingle", "lead"), "shingle")
+            both = open_.join(open_.groupBy("shingle").agg(lead), "shingle")
             fit = (F.col("component") != F.col("lead.component")) & _may_link("", "lead.", percent)
-            pairs = both.filter(fit).select(F.col("class").alias("a"), F.col("lead.class").alias("b"))
+            pairs = both.filter(fit).groupBy(F.col("class").alias("a"), F.col("lead.class").alias("b")).count().filter("count > 1")
         else:
-            open_ = named.join(groups.select("shingle"), "shingle", "left_semi")
             x, y = open_.alias("x"), open_.alias("y")
-            fit = (F.col("x.component") != F.col("y.component")) & (F.col("x.class") < F.col("y.class")) & _may_link(
-                "x.", "y.", percent
-            )
+            fit = (F.col("x.component") != F.col("y.component")) & (F.col("x.class") < F.col("y.class")) & _may_link("x.", "y.", percent)
             pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).filter(fit)
-            pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+            pairs = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(
+                F.count("*").alias("shared"), F.greatest(F.max("x.n"), F.max("y.n")).alias("n"), F.min(F.col("x.n") + F.col("y.n")).alias("total")
+            )
+            # of the two prefixes, one ends first in the global order; its postings meet all their equals, and only
+            # what stands behind it may be shared besides
+            most = F.col("shared") + F.ceil(F.col("n") * percent / 100) - 1
+            pairs = pairs.filter(most * 100 >= (F.col("total") - most) * percent).select("a", "b")
         known = tried.select("a", "b").unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = pairs.distinct().join(known, ["a", "b"], "left_anti")
-        done = _verified(pairs, texts, n, percent)
+        done = _verified(pairs.select("a", "b").join(known, ["a", "b"], "left_anti"), docs, classes, n, percent)
         fresh = not done.filter("link").isEmpty()
         tried = tried.unionAll(done)
-        links = tried.filter("link")
         if fresh:
-            labels = components(links)
-            own = labels.withColumnRenamed("node", "class").withColumnRenamed("component", "of")
-            named = cut(postings.join(own, "class", "left").withColumn("component", F.coalesce("of", "class")).drop("of"))
+            labels = components(tried.filter("link"))
+            open_ = _open(_labelled(open_.drop("component"), labels), percent)
         if not star:
-            return classes, components(links)
+            return classes, labels
         star = fresh
 
 
+def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings with the component of their class, which is the class itself where nothing links to it."""
+    own = labels.select(F.col("node").alias("class"), F.col("component").alias("of"))
+    return postings.join(if_small(own), "class", "left").withColumn("component", F.coalesce("of", "class")).drop("of")
+
+
+def _open(named: DataFrame, percent: int, longest: int = LONG_RUN) -> DataFrame:
+    """Postings that may pair with one of another component on the same shingle; checkpointed.
+
+    Rows come sorted by shingle; each is held against the others of its shingle
+    by the filters. Shingles of more than `longest` postings stay whole, so no
+    group is held in memory beyond that.
+    """
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, whole = None, None  # held: the last shingle's rows so far; whole: a long shingle that goes on
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            yield from sifted(rows.slice(0, _last_run(rows)), whole)
+            held = rows.slice(_last_run(rows)).combine_chunks()
+            if held.num_rows > longest:
+                whole = held.column(0)[0].as_py()
+                yield from held.to_batches()
+                held = held.slice(0, 0)
+            held = held.to_batches()[0] if held.num_rows else None
+        if held is not None:
+            yield from sifted(pa.Table.from_batches([held]), whole)
+
+    def sifted(rows: pa.Table, whole: int | None) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
+            return
+        rows = rows.combine_chunks()
+        shingle, n, pos, ahead = (rows.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n", "pos", "ahead"))
+        part = np.array(rows.column("component").to_pylist(), "S16")
+        keep = shingle == whole if whole is not None else np.zeros(len(shingle), bool)
+        for k in range(1, len(shingle)):
+            same = shingle[k:] == shingle[:-k]
+            if not same.any():
+                break
+            a, b = np.flatnonzero(same), np.flatnonzero(same) + k
+            most = np.minimum(ahead[a], ahead[b]) + 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1
+            fit = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (100 * most >= percent * (n[a] + n[b] - most))
+            fit &= part[a] != part[b]
+            keep[a[fit]] = keep[b[fit]] = True
+        if keep.any():
+            yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    schema = "shingle long, class binary, n int, pos int, ahead int, component binary"
+    rows = named.select("shingle", "class", "n", "pos", "ahead", "component").repartition("shingle").sortWithinPartitions("shingle")
+    return cut(rows.mapInArrow(partners, schema))
+
+
+def _last_run(rows: pa.Table) -> int:
+    """Where the rows of the last shingle begin."""
+    shingle = rows.column(0).to_numpy()
+    return int(np.searchsorted(shingle, shingle[-1])) if len(shingle) else 0
+
+
 def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`.
 
@@ -329,3 +419,22 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+ORACLE = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, md5(array_to_string(w[i : i + least(4, len(w)) - 1], ' ')) as sh
+  from (select doc_id, w, unnest(range(1, cast(len(w) - least(4, len(w)) + 2 as bigint))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+r(node, root) as (select distinct a, a from e union select e.b, r.root from r join e on e.a = r.node),
+c as (select node, min(root) as root from r group by node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.root, d.doc_id) as component_id
+from d left join n using (doc_id) left join c on c.node = d.doc_id
+"""

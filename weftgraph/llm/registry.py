@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE,
+    "op2_jaccard_join": jaccard.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op7_repeats": repeats.ORACLE,
     "op8_url_filters": url_filters.ORACLE,
