@@ -91,12 +91,19 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time: sets of hashes are larger than their texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, class), checkpointed, and the counts of all shingles."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(COUNTS, np.int64)
-        for batch in batches:
+        for batch in _small(batches):
             sets = [shingle_set(text, n) for text in _texts(batch, "text")]
             own += np.bincount(
                 (np.concatenate([*sets, np.empty(0, np.uint64)]) & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS
@@ -146,7 +153,7 @@ def _postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> Data
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # copies in one task post once
-        for batch in batches:
+        for batch in _small(batches):
             shingles, classes, sizes, places = [], [], [], []
             for text in _texts(batch, "text"):
                 own = shingle_set(text, n)
