@@ -79,7 +79,7 @@ class RuleExtractor:
         return json.dumps(near)
 
     def question_entities(self, question: str) -> str | None:
-        return json.dumps([s for _, _, s in self._found(question)][:MAX_ARITY])
+        return json.dumps([s for _, _, s in self._found(question)])
 
     def is_available(self) -> bool:
         return True

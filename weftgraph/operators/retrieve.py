@@ -21,7 +21,8 @@ def text_evidence(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, encod
     each = chunks.select("graph_id", "chunk_idx", F.posexplode("sentences").alias("pos", "s")).withColumn("sentence", strip(F.col("s")))
     once = each.filter("sentence <> ''").groupBy("graph_id", "sentence").agg(F.min(F.struct("chunk_idx", "pos")).alias("place"))
     items = once.select("graph_id", F.struct("place", "sentence").alias("item"), encode(F.col("sentence"), encoder).alias("vector"))
-    asked = questions.select("graph_id", F.col("question").alias("query"), encode(F.col("question"), encoder).alias("vector"))
+    # a question may be a whole document: its digest stands for it in the rows of its sentences
+    asked = questions.select("graph_id", F.sha2("question", 256).alias("query"), encode(F.col("question"), encoder).alias("vector"))
     return top_k(asked, items, k, 0.0).select("graph_id", "rank", F.col("item.sentence").alias("sentence"), "sim")
 
 

@@ -271,7 +271,7 @@ def q25_beam_search(spark, sf):
 def q26_text_rag_topk(spark, sf):
     docs = A.table(spark, sf, "documents").filter("lang = 'en'")
     chunks = chunking.sentence_chunks(A.document_articles(docs))
-    asked = docs.select(F.col("doc_id").alias("graph_id"), F.substring("text", 1, 60).alias("question"))
+    asked = docs.select(F.col("doc_id").alias("graph_id"), F.col("text").alias("question"))
     return retrieve.text_evidence(asked, chunks)
 
 
@@ -631,7 +631,7 @@ def q66_directed_pairs(spark, sf):
 
 @query()
 def q67_question_entities(spark, sf):
-    docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("graph_id"), F.substring("text", 1, 200).alias("question"))
+    docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("graph_id"), F.col("text").alias("question"))
     return facts.question_entities(docs, facts.RuleExtractor())
 
 
