@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -37,3 +38,22 @@ def test_evidence_for_the_whole_text(spark, tmp_path):
     got = QUERIES["q26_text_rag_topk"](spark, documents(spark, tmp_path, [(1, text, "en")])).orderBy("rank").collect()
     want = evidence(text)
     assert [r.sentence for r in got] == [s for s, _ in want] and np.allclose([r.sim for r in got], [x for _, x in want], atol=1e-5)
+
+
+def test_documents_of_every_language(spark, tmp_path):
+    rows = [
+        (1, "The harbour is old. A new harbour came.", "en"), (2, "Der Hafen ist alt. Ein neuer Hafen kam.", "de"),
+        (3, "zwei Straße. Die Straßen sind lang", "de"), (4, "uno dos. tres", "es"), (5, "le port", None), (6, None, "fr"), (7, "say yes. yes", "fr"),
+    ]
+    sf = documents(spark, tmp_path, rows)
+
+    def found(text):
+        m = re.search(r"[A-Za-z]+ ([A-Za-z]+)", text or "")
+        needle = m[1].lower() if m else ""
+        return needle not in ("", "yes", "no") and any(re.search(rf"\b{needle}\b", s.lower()) for s in text.split(". "))
+
+    got = {r.doc_id: r.grounded for r in QUERIES["q06_text_grounding"](spark, sf).collect()}
+    assert got == {i: found(text) for i, text, _ in rows}
+    assert not got[3] and got[2]  # "Stra" isn't a word of its own
+    near = {r.graph_id for r in QUERIES["q26_text_rag_topk"](spark, sf).collect()}
+    assert near == {1, 2, 3, 4, 5, 7}
