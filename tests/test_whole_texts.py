@@ -1,5 +1,7 @@
 import random
 import re
+import string
+from collections import Counter
 
 import numpy as np
 
@@ -57,3 +59,26 @@ def test_documents_of_every_language(spark, tmp_path):
     assert not got[3] and got[2]  # "Stra" isn't a word of its own
     near = {r.graph_id for r in QUERIES["q26_text_rag_topk"](spark, sf).collect()}
     assert near == {1, 2, 3, 4, 5, 7}
+
+
+def test_answers_are_whole_turns(spark, tmp_path):
+    same = " ".join(f"w{i}" for i in range(15))
+    turns = [
+        (1, 1, same + " one"), (1, 2, same + " two"), (1, 3, "Él está aquí " * 6 + "mañana"), (1, 4, "el esta aqui"),
+        (2, 1, "caf"), (2, 2, "café"), (2, 3, "the a an"), (2, 4, "!"), (3, 1, None), (3, 2, "x y x"), (3, 4, "x x z"),
+    ]
+    spark.createDataFrame([(c, n, "user", t) for c, n, t in turns], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def tokens(text):
+        bare = "".join(c for c in text.lower() if c not in string.punctuation)
+        return [w for w in bare.split() if w not in ("a", "an", "the")]
+
+    want = {}
+    for (c, n, gold), (d, _, after) in zip(turns, turns[1:], strict=False):
+        if c == d and gold is not None:
+            p, g = tokens("The " + gold.upper() + "!" if n % 3 == 0 else after), tokens(gold)
+            shared = sum((Counter(p) & Counter(g)).values())
+            want[c, n] = (float(p == g), 2 * shared / (len(p) + len(g)) if p and g else float(len(p) == len(g)))
+    got = {(r.conv_id, r.turn): (r.em, r.f1) for r in QUERIES["q40_em_f1"](spark, str(tmp_path)).filter("em is not null").collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-8) for k in want)
+    assert got[1, 1][0] == 0 and got[2, 1][0] == 0

@@ -114,16 +114,14 @@ def name_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive turns as (gold, pred), dealt over conditions; texts of ASCII letters alone."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text"))
-    short = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
-    own = turns.select("conv_id", "turn", short.alias("short"))
-    after = F.lead("short").over(Window.partitionBy("conv_id").orderBy("turn", "short"))
+    """Consecutive turns as (gold, pred), dealt over conditions; whole texts."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
     paired = own.withColumn("next", after).filter("next is not null")
     condition = F.get(F.array(*(F.lit(c) for c in ("closed_book", "text_rag", "graph", "graph_repair"))), F.pmod(F.col("conv_id"), F.lit(4)).cast("int"))
-    pred = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("The "), F.upper("short"), F.lit("!"))).otherwise(F.col("next"))
+    pred = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("The "), F.upper("text"), F.lit("!"))).otherwise(F.col("next"))
     n_facts = F.when(condition == "closed_book", 0).otherwise(4 + F.pmod("turn", F.lit(5))).cast("int")
     return paired.select(
-        "conv_id", "turn", condition.alias("condition"), F.col("short").alias("gold"), pred.alias("pred"), n_facts.alias("n_facts"),
+        "conv_id", "turn", condition.alias("condition"), F.col("text").alias("gold"), pred.alias("pred"), n_facts.alias("n_facts"),
         (F.col("turn") % 2 == 0).alias("answerable"),
     )
