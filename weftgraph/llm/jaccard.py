@@ -98,8 +98,12 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def _digest() -> Column:
+    return F.unhex(F.sha2("text", 256))
+
+
 def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, class), checkpointed, and the counts of all shingles."""
+    """(doc_id, n_shingles, class, digest of the text), checkpointed, and the counts of all shingles."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(COUNTS, np.int64)
@@ -112,6 +116,7 @@ def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
                 "doc_id": batch.column("doc_id"),
                 "n_shingles": pa.array(map(len, sets), pa.int64()),
                 "class": pa.array([class_of(s) if len(s) else None for s in sets], pa.binary()),
+                "digest": batch.column("digest").cast(pa.binary()),
                 "slice": pa.nulls(len(sets), pa.int32()),
                 "counts": pa.nulls(len(sets), pa.binary()),
             })
@@ -120,12 +125,13 @@ def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             "doc_id": pa.nulls(SLICES, pa.int64()),
             "n_shingles": pa.nulls(SLICES, pa.int64()),
             "class": pa.nulls(SLICES, pa.binary()),
+            "digest": pa.nulls(SLICES, pa.binary()),
             "slice": pa.array(range(SLICES), pa.int32()),
             "counts": pa.array(blobs, pa.binary()),
         })
 
-    schema = "doc_id long, n_shingles long, class binary, slice int, counts binary"
-    scanned = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, schema))
+    schema = "doc_id long, n_shingles long, class binary, digest binary, slice int, counts binary"
+    scanned = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _digest().alias("digest")).mapInArrow(scan, schema))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -140,7 +146,7 @@ def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     slices = scanned.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
     for k, blob in slices.mapInArrow(add_up, "slice int, counts binary").collect():  # 4 MB, whatever the input
         counts[k] = np.frombuffer(blob, np.uint32)
-    return scanned.filter("slice is null").select("doc_id", "n_shingles", "class"), counts.reshape(-1)
+    return scanned.filter("slice is null").select("doc_id", "n_shingles", "class", "digest"), counts.reshape(-1)
 
 
 def _postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -287,7 +293,7 @@ def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int)
 
 
 def class_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, class) of all rows, and (node, component) of the classes that have links."""
+    """(doc_id, n_shingles, class, digest) of all rows, and (node, component) of the classes that have links."""
     classes, counts = _classes(docs, n)
     postings = _postings(docs, counts, n, percent)
     # first round: what the lead's `ahead` would be is at most its place
@@ -398,30 +404,43 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     table gives an empty result. Shingles are told apart by 64-bit hashes.
     """
     classes, labels = class_links(docs, n, percent)
-    reps = classes.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    own = _groups(classes, labels, F.min("doc_id"))
+    return classes.join(own, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _groups(classes: DataFrame, labels: DataFrame, least: Column) -> DataFrame:
+    """(class, least): the least value over the rows of its group, for classes of two rows or more or with links."""
+    reps = classes.filter("class is not null").groupBy("class").agg(least.alias("rep"), F.count("*").alias("rows"))
     own = reps.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").filter(
         "rows > 1 or component is not null"
     )
     own = cut(own.withColumn("component", F.coalesce("component", "class")))
-    least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = own.select("class", "component").join(least, "component").select("class", "component_id")
-    return classes.join(ids, "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    first = own.groupBy("component").agg(F.min("rep").alias("least"))
+    return own.select("class", "component").join(first, "component").select("class", "least")
 
 
 def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """`docs`, all columns, with one row of each group: the one of least doc_id."""
-    groups = cut(jaccard_groups(docs, n, percent))
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = groups.filter(~stays).select(F.col("doc_id").alias("gone_id"))
-    left = docs.join(if_small(gone), docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left_anti")
-    again = groups.filter(stays).filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
-    if again.isEmpty():
-        return left
-    words = unused(docs, "_words")
-    spaced = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), " ")
-    return left.withColumn(words, spaced).dropDuplicates(["doc_id", words]).drop(words)
+    """`docs`, all columns, with one row of each group: of least doc_id, null ids last, and then of least SHA-256.
+
+    A row is told by its doc_id and its text, so others of the same id, or of
+    none, stay if they aren't near copies. Of rows equal in both, one stays.
+    """
+    classes, labels = class_links(docs, n, percent)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    joined = classes.join(_groups(classes, labels, F.min(key)), "class")
+    groups = cut(joined.select("doc_id", "digest", key.eqNullSafe(F.col("least")).alias("stays")))
+    text, number = unused(docs, "_digest"), F.col("doc_id").cast("long")
+    rows = docs.withColumn(text, _digest())
+
+    def met(keys: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("key_id"), F.col("digest").alias("key_digest"))
+        return rows.join(if_small(keys), number.eqNullSafe(F.col("key_id")) & (F.col(text) == F.col("key_digest")), how)
+
+    left = met(groups.filter("not stays").distinct(), "left_anti", rows)
+    again = cut(groups.filter("stays").groupBy("doc_id", "digest").count().filter("count > 1"))
+    if not again.isEmpty():
+        left = met(again, "left_semi", left).dropDuplicates(["doc_id", text]).unionByName(met(again, "left_anti", left))
+    return left.drop(text)
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
