@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +39,14 @@ def components(pair_rows: DataFrame) -> DataFrame:
     return tied.unionAll(roots.unionAll(alone).distinct())
 
 
-def hop_counts(pair_rows: DataFrame, sources: DataFrame, max_hops: int = 100, directed: bool = False) -> DataFrame:
-    """(graph_id, source, node, hops) from (graph_id, source) rows, breadth first. A source that isn't a node isn't found."""
+def hop_counts(pair_rows: DataFrame, sources: DataFrame, max_hops: int | None = None, directed: bool = False) -> DataFrame:
+    """(graph_id, source, node, hops) from (graph_id, source) rows, breadth first, until nothing new is met or `max_hops`. A source that isn't a node isn't found."""
     ahead = pair_rows.select("graph_id", "src", "dst")
     near = cut(ahead if directed else ahead.unionAll(pair_rows.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     known = near.select("graph_id", F.col("src").alias("source")).union(near.select("graph_id", F.col("dst").alias("source"))).distinct()
     seen = cut(sources.select("graph_id", "source").distinct().join(known, ["graph_id", "source"]).select("graph_id", "source", F.col("source").alias("node"), F.lit(0).alias("hops")))
     front = seen
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         step = front.join(near, (front["graph_id"] == near["graph_id"]) & (front["node"] == near["src"]))
         step = step.select(front["graph_id"], "source", F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen, ["graph_id", "source", "node"], "left_anti").withColumn("hops", F.lit(hop)))

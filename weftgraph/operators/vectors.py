@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 DIMENSIONS = 256
 TOP_K, MIN_SIMILARITY = 3, 0.72
+#: Queries that a task multiplies with a batch of items at once.
+QUERY_BLOCK = 256
 
 
 def hashing_encoder(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -60,37 +66,56 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = TOP_K, min_similarity:
 def top_k_blocks(queries: DataFrame, items: DataFrame, k: int, min_similarity: float, max_queries: int = 100_000) -> DataFrame:
     """(query, item, sim, rank) of a stated query set against all items, in blocks.
 
-    The queries' matrix, of at most `max_queries` rows, is shipped to the tasks;
-    a task multiplies it with its items block by block and hands on its best k
-    for each query, so k rows a query and task are shuffled, however many items
-    there are. More queries are taken in several sets.
+    The sorted queries are taken in sets of at most `max_queries` rows. A set's
+    matrix is shipped to the tasks; a task multiplies it with its items block by
+    block and hands on its best k for each query, so k rows a query and task are
+    shuffled, however many items there are. With more than one set, what each
+    found is checkpointed before the next is shipped.
     """
-    rows = queries.select("query", "vector").orderBy("query").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: call in sets")
-    names, kind = [r[0] for r in rows], dict(queries.dtypes)["query"]
-    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-    shared = queries.sparkSession.sparkContext.broadcast((names, matrix))
+    rows = queries.select("query", "vector").orderBy("query").toLocalIterator()
+    found = None
+    while (own := list(itertools.islice(rows, max_queries))) or found is None:
+        best, shared = _searched(own, items, k, dict(queries.dtypes)["query"])
+        if found is None and len(own) < max_queries:
+            return _best(best, k).filter(F.col("sim") >= min_similarity)
+        best = cut(_best(best, k).drop("rank"))
+        shared.unpersist()
+        found = best if found is None else found.unionByName(best)
+    # a query that is there several times may be in two sets
+    return _best(found, k).filter(F.col("sim") >= min_similarity)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.col("sim").desc(), "item")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _searched(rows: list, items: DataFrame, k: int, kind: str) -> tuple[DataFrame, Broadcast]:
+    """(query, item, sim): the best k items of each task for each of these queries; and the broadcast it reads."""
+    names = [r[0] for r in rows]
+    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.empty((0, 0))
+    shared = items.sparkSession.sparkContext.broadcast((names, matrix))
     item_kind = dict(items.dtypes)["item"]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, matrix = shared.value
-        sims, ids = np.empty((len(names), 0)), np.empty((len(names), 0), object)
+        starts = range(0, len(names), QUERY_BLOCK)
+        kept = {at: (np.empty((len(names[at : at + QUERY_BLOCK]), 0)), np.empty((len(names[at : at + QUERY_BLOCK]), 0), object)) for at in starts}
         for pdf in batches:
-            if not len(pdf) or not len(names):
+            if not len(pdf):
                 continue
-            own = matrix @ np.array(pdf["vector"].tolist(), np.float64).T
-            sims = np.hstack([sims, own])
-            ids = np.hstack([ids, np.tile(pdf["item"].to_numpy(object), (len(names), 1))])
-            # best first, then the smaller item: sort by item, then stably by falling similarity
-            by_id = np.argsort(ids, axis=1, kind="stable")
-            sims, ids = np.take_along_axis(sims, by_id, 1), np.take_along_axis(ids, by_id, 1)
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            sims, ids = np.take_along_axis(sims, best, 1), np.take_along_axis(ids, best, 1)
-        if sims.size:
-            width = sims.shape[1]
-            yield pd.DataFrame({"query": np.repeat(np.array(names, object), width), "item": ids.ravel(), "sim": sims.ravel()})
-
-    partial = items.select("item", "vector").mapInPandas(search, f"query {kind}, item {item_kind}, sim double")
-    best = Window.partitionBy("query").orderBy(F.col("sim").desc(), "item")
-    return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).filter(F.col("sim") >= min_similarity)
+            vectors, own_ids = np.array(pdf["vector"].tolist(), np.float64).T, pdf["item"].to_numpy(object)
+            for at, (sims, ids) in kept.items():
+                sims = np.hstack([sims, matrix[at : at + QUERY_BLOCK] @ vectors])
+                ids = np.hstack([ids, np.tile(own_ids, (len(sims), 1))])
+                # best first, then the smaller item: sort by item, then stably by falling similarity
+                by_id = np.argsort(ids, axis=1, kind="stable")
+                sims, ids = np.take_along_axis(sims, by_id, 1), np.take_along_axis(ids, by_id, 1)
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                kept[at] = np.take_along_axis(sims, best, 1), np.take_along_axis(ids, best, 1)
+        for at, (sims, ids) in kept.items():
+            if sims.size:
+                own = np.array(names[at : at + QUERY_BLOCK], object)
+                yield pd.DataFrame({"query": np.repeat(own, sims.shape[1]), "item": ids.ravel(), "sim": sims.ravel()})
+
+    return items.select("item", "vector").mapInPandas(search, f"query {kind}, item {item_kind}, sim double"), shared
