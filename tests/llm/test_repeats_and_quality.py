@@ -68,16 +68,45 @@ def test_repeated_rows_and_null_ids(docs_of):
     assert repeats.remove_repeats(docs_of([]), bits=20).count() == 0
 
 
-def test_run_index_finds_the_first_place():
-    rng = random.Random(2)
-    segments = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(100, 160))) for _ in range(6)]
-    segments += [segments[0][5:120], segments[2][:100] + b"zz"]
-    text, lengths = np.frombuffer(b"".join(segments), np.uint8), np.array([len(s) for s in segments])
-    index = repeats.RunIndex(text, lengths, 100)
-    data = text.tobytes()
-    for start, first in zip(index.starts, index.earliest(index.starts), strict=True):
-        assert first == min(s for s in index.starts if data[s : s + 100] == data[start : start + 100])
-    assert len(index.run_starts) == len(index.heads) == len(index.samples)
+def phrases_of(seed):
+    rng = random.Random(seed)
+    out = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(100, 160))) for _ in range(6)]
+    return [*out, out[0][5:120], out[2][:100] + b"zz", out[1] + out[3], b"a" * 130, b"a" * 100 + b"b"]
+
+
+def repeats_by_search(phrases):
+    seen, out = set(), []
+    for k, own in enumerate(phrases):
+        for p in range(len(own) - 99):
+            if own[p : p + 100] in seen:
+                out.append((k, p))
+            seen.add(own[p : p + 100])
+    return out
+
+
+def streamed(index, phrases):
+    got = [(int(k), int(p)) for who, at, first in index.stream(phrases) for k, p, f in zip(who, at, first, strict=True) if f < index.starts[k] + p]
+    return sorted(got)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_run_index_finds_the_first_place(seed):
+    phrases = phrases_of(seed)
+    index = repeats.RunIndex(phrases, 100)
+    data = b"".join(x + b"\xff" for x in phrases)
+    for who, at, first in index.stream(phrases):
+        for k, p, f in zip(who, at, first, strict=True):
+            assert f == min(index.starts[i] + x.find(phrases[k][p : p + 100]) for i, x in enumerate(phrases) if phrases[k][p : p + 100] in x)
+    assert streamed(index, phrases) == repeats_by_search(phrases)
+    assert len(index.heads) == len(index.samples) == len(index.keys) < len(data)
+
+
+def test_the_transform_decides():
+    phrases = phrases_of(1)
+    index = repeats.RunIndex(phrases, 100)
+    heads = np.random.default_rng(0).permutation(index.heads)
+    index.keys = np.sort(heads * (index.rows + 1) + index.keys % (index.rows + 1))
+    assert streamed(index, phrases) != repeats_by_search(phrases)
 
 
 def made_documents(n, seed):

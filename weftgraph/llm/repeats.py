@@ -11,11 +11,13 @@ an anchor form a segment; equal strings are always in segments of one anchor.
 2. A second scan cuts out segments that pass. Equal segments of a task are
    folded at once: all but the first place are repeats as a whole. The strings
    of anchors that occur more than HOT times go one by one, each its own group.
-3. Segments meet by anchor, first places first. Where an anchor's segments
-   differ, they are indexed: the Burrows-Wheeler transform of their text, in
-   the order of contexts of `length` bytes and places, is kept as runs with a
-   sampled place for each run, and the segments are streamed past it. A start
-   whose run sample is an earlier place is a repeat.
+3. Segments meet by anchor, first places first. Equal ones are one phrase of a
+   dictionary, as in prefix-free parsing. Where an anchor has several phrases,
+   they are indexed: the Burrows-Wheeler transform of their text, in the order
+   of contexts of `length` bytes and places, is kept as runs with a sampled
+   place for each, and the phrases are streamed past it, byte by byte from
+   their ends. A start whose match reaches `length` bytes, and whose sampled
+   place is an earlier one, is a repeat.
 4. Spans of repeats are joined to the rows, and the bytes left are hashed.
 
 Places are ordered by doc_id, then for rows that share one by a hash of the
@@ -39,10 +41,10 @@ from .common import table
 
 LENGTH = 100
 GRAM = 32
-#: Bits of the filter, as a power of two, bits set for a value, and bits of a value.
-FILTER_BITS, PROBES, VALUE_BITS = 29, 3, 40
-#: Bytes of input for each slice of the filter, beyond the least number of slices.
-SLICE_BYTES = 1 << 24
+#: Bits of the filter, as a power of two (a broadcast of at most 64 MB), and bits set for a value.
+FILTER_BITS, PROBES = 29, 3
+#: The least number of slices of the filter, bits of a value with those, and bytes of input for each slice beyond.
+SLICES, VALUE_BITS, SLICE_BYTES = 64, 40, 1 << 24
 #: Bytes of text hashed at once; a longer text is taken in pieces.
 PIECE = 1 << 19
 #: Bytes of segments indexed at once, and occurrences of an anchor from which its strings go one by one.
@@ -146,19 +148,24 @@ def _positions(values: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield ((values * _P[k]) >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _hashes(data: bytes, ends: list[tuple[int, int]], length: int) -> np.ndarray:
+def _value_bits(slices: int) -> int:
+    """Bits of a value: a slice holds as many bytes of input at every size, so each doubling of slices adds a bit."""
+    return min(64, VALUE_BITS + (slices // SLICES).bit_length() - 1)
+
+
+def _hashes(data: bytes, ends: list[tuple[int, int]], length: int, slices: int) -> np.ndarray:
     *_, base, left, right = segments(np.frombuffer(data, np.uint8), ends, length)
     every = np.concatenate([base, left[left > 0], right[right > 0]])
-    return every >> np.uint64(64 - VALUE_BITS)
+    return every >> np.uint64(64 - _value_bits(slices))
 
 
 def _repeated(docs: DataFrame, length: int, bits: int, hot: int) -> tuple[list[bytes], np.ndarray]:
     """The filter of hashes that occur twice, in compressed slices, and the hashes that occur more than `hot` times."""
-    # a slice's owner holds its values, so there are more slices for more input, by the planner's estimate of its size
-    size, slices = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), 64
-    while slices < size / SLICE_BYTES and slices < 1 << 14:
+    # a slice's owner holds its values, so there are more slices for more input
+    size, slices = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, SLICES
+    while slices < size / SLICE_BYTES:
         slices *= 2
-    per_slice, own_bits = (1 << VALUE_BITS) // slices, (1 << bits) // slices
+    per_slice, own_bits = (1 << _value_bits(slices)) // slices, max(8, (1 << bits) // slices)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -177,7 +184,7 @@ def _repeated(docs: DataFrame, length: int, bits: int, hot: int) -> tuple[list[b
 
         for batch in batches:
             for data, ends, _ in pieces(_bytes(batch.column(0)), length):
-                held.append(_hashes(data, ends, length))
+                held.append(_hashes(data, ends, length, slices))
                 count += len(held[-1])
             if count > 6_000_000:
                 yield packed()
@@ -214,9 +221,10 @@ def _repeated(docs: DataFrame, length: int, bits: int, hot: int) -> tuple[list[b
 
 def _passes(bitmap: np.ndarray, hashes: np.ndarray, slices: int) -> np.ndarray:
     """Which hashes the filter holds; 0 stands for none."""
-    values = hashes >> np.uint64(64 - VALUE_BITS)
+    bits = _value_bits(slices)
+    values = hashes >> np.uint64(64 - bits)
     own_bits = len(bitmap) * 8 // slices
-    start = (values // np.uint64((1 << VALUE_BITS) // slices)).astype(np.int64) * own_bits
+    start = (values // np.uint64((1 << bits) // slices)).astype(np.int64) * own_bits
     out = hashes > 0
     for at in _positions(values, own_bits):
         at += start
@@ -225,57 +233,105 @@ def _passes(bitmap: np.ndarray, hashes: np.ndarray, slices: int) -> np.ndarray:
 
 
 class RunIndex:
-    """Run-length index of a text: runs of its transform in context order, and a sampled place for each."""
-
-    def __init__(self, text: np.ndarray, lengths: np.ndarray, length: int):
-        """text: segments one after another, in the order of their places; lengths: theirs."""
-        ends = np.cumsum(lengths)
-        offset = np.arange(len(text)) - np.repeat(ends - lengths, lengths)
-        left = np.repeat(lengths, lengths) - offset
-        self.starts = np.flatnonzero(left >= length)
-        # ranks of contexts of 8, 16, 32, 64 bytes; those that leave a segment don't matter
-        pad = np.concatenate([text, np.zeros(8, np.uint8)])
-        rank = np.ndarray((len(text),), ">u8", pad, 0, (1,)).astype(np.uint64)
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-        size = 8
-        while 2 * size <= length:
-            after = np.concatenate([rank[size:], np.zeros(size, np.int64)])
-            rank = np.unique(rank * (rank.max() + 1) + after, return_inverse=True)[1].astype(np.int64)
-            size *= 2
-        after = np.concatenate([rank[length - size :], np.zeros(length - size, np.int64)]) if length > size else rank
-        context = rank[self.starts] * (rank.max() + 1) + after[self.starts]
-        order = np.argsort(context, kind="stable")
-        place, context = self.starts[order], context[order]
-        before = np.where(offset[place] > 0, text[place - 1].astype(np.int64), -1)
-        fresh = np.ones(len(place), bool)  # a context's first entry begins a run, so its place is sampled
+    """Run-length index of a dictionary of phrases: the runs of its Burrows-Wheeler transform, a place sampled for each.
+
+    Rows stand in the order of their contexts, the next `length` bytes as far as
+    the phrase goes, and then of their places. A run is a stretch of rows of one
+    context and one byte before it. What stays in memory grows with the runs: for
+    each its first row, its byte, its sampled place and the rows before it.
+    """
+
+    def __init__(self, phrases: list[bytes], length: int):
+        """phrases: in the order of their places, so that a place earlier in the text is earlier in the corpus."""
+        self.length = length
+        sizes = np.array([len(x) for x in phrases])
+        self.starts = np.cumsum(sizes + 1) - sizes - 1
+        raw = np.frombuffer(b"\0".join(phrases) + b"\0" * 9, np.uint8)
+        self.rows = int(sizes.sum()) + len(sizes)
+        left = np.repeat(self.starts + sizes, sizes + 1) - np.arange(self.rows)
+        text = np.where(left > 0, raw[: self.rows].astype(np.int64) + 1, 0)  # 0 ends a phrase
+        near, far = self._ranks(raw, left, length)
+        order = np.argsort(far, kind="stable")
+        before = np.where(order > 0, text[order - 1], 0)
+        context, around = far[order], near[order]
+        fresh = np.ones(self.rows, bool)  # a context's first row begins a run, so its least place is sampled
         fresh[1:] = context[1:] != context[:-1]
         breaks = fresh.copy()
         breaks[1:] |= before[1:] != before[:-1]
-        self.run_starts = np.flatnonzero(breaks)
-        self.heads = before[self.run_starts]
-        self.samples = place[self.run_starts]
-        context_run = np.maximum.accumulate(np.where(fresh[self.run_starts], np.arange(len(self.run_starts)), 0))
-        self.first_sample = self.samples[context_run]
-        self._row = np.empty(len(text), np.int64)
-        self._row[place] = np.arange(len(place))
+        wide = np.ones(self.rows, bool)
+        wide[1:] = around[1:] != around[:-1]
+        run_starts = np.flatnonzero(breaks)
+        self.heads = before[run_starts]
+        self.samples = order[run_starts]
+        # contexts: their first runs, and the first row of all contexts that share length - 1 bytes with them
+        firsts = np.flatnonzero(fresh)
+        self.context_run = np.searchsorted(run_starts, firsts)
+        self.shared_from = np.maximum.accumulate(np.where(wide, np.arange(self.rows), 0))[firsts]
+        # runs by byte, then row: those before one, in all, are where its byte and context begin
+        by_byte = np.lexsort((run_starts, self.heads))
+        self.keys = self.heads[by_byte] * (self.rows + 1) + run_starts[by_byte]
+        counts = np.diff(run_starts, append=self.rows)[by_byte]
+        self.steps = np.concatenate([[0], np.cumsum(counts)])
+        self.step_context = np.searchsorted(firsts, self.steps, "right") - 1
+
+    @staticmethod
+    def _ranks(raw: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the next length - 1 and `length` bytes at each place, cut where the phrase ends; by doubling."""
+        size, n = 8, len(left)
+        word = np.ndarray((n,), ">u8", raw, 0, (1,)).astype(np.uint64)
+        short = np.minimum(left, 8)
+        word &= ~np.where(short < 8, (np.uint64(1) << (64 - 8 * np.maximum(short, 1)).astype(np.uint64)) - np.uint64(1), np.uint64(0))
+        word[short == 0] = 0
+        rank = np.unique(word, return_inverse=True)[1].astype(np.int64) * 9 + short
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
 
-    def earliest(self, places: np.ndarray) -> np.ndarray:
-        """First place of the string that starts at each of `places`."""
-        run = np.searchsorted(self.run_starts, self._row[places], "right") - 1
-        return self.first_sample[run]
+        def joined(step: int) -> np.ndarray:
+            after = np.zeros(n, np.int64)
+            after[: n - step] = rank[step:] + 1
+            after[left <= step] = 0
+            return np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
+
+        while 2 * size < length:
+            rank = joined(size)
+            size *= 2
+        return joined(length - 1 - size), joined(length - size)
+
+    def stream(self, phrases: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Matching statistics of the indexed phrases, all streamed past the runs together, from their last bytes on.
+
+        A step takes each phrase's byte before the match and leads to the rows
+        where the match with that byte begins. The match grows to `length` bytes;
+        then its last byte goes at each step. Yields, once it is that long, the
+        numbers of the phrases, the starts in them, and the earliest places.
+        """
+        sizes = np.array([len(x) for x in phrases])
+        order = np.argsort(-sizes, kind="stable")
+        ends = np.cumsum(sizes)[order]
+        text, sizes = np.frombuffer(b"".join(phrases), np.uint8), sizes[order]
+        row = np.zeros(len(order), np.int64)
+        context = np.zeros(len(order), np.int64)
+        for t in range(int(sizes[0]) if len(sizes) else 0):
+            live = int(np.searchsorted(-sizes, -t))  # phrases of more than t bytes
+            byte = text[ends[:live] - 1 - t].astype(np.int64) + 1
+            row = self.shared_from[context[:live]] if t >= self.length else row[:live]
+            at = np.searchsorted(self.keys, byte * (self.rows + 1) + row)
+            row, context = self.steps[at], self.step_context[at]
+            if t + 1 >= self.length:
+                yield order[:live], sizes[:live] - 1 - t, self.samples[self.context_run[context]]
 
 
 def indexed_repeats(group: list[list[tuple]], length: int) -> Iterator[tuple]:
     """(doc_id, part, begin, end) of strings in (doc_id, part, start, segment) rows that an earlier row holds, or the same one before."""
     rows = [r for g in group for r in g]
-    lengths = np.array([len(r[3]) for r in rows])
-    index = RunIndex(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), lengths, length)
-    again = index.starts[index.earliest(index.starts) < index.starts]
+    phrases = [r[3] for r in rows]
+    index = RunIndex(phrases, length)
+    found = [(index.starts[who] + at, first) for who, at, first in index.stream(phrases)]
+    places, first = (np.concatenate(x) for x in zip(*found, strict=True))
+    again = np.sort(places[first < places])
     if not len(again):
         return
-    ends = np.cumsum(lengths)
-    owner = np.searchsorted(ends, again, "right")
-    offset = again - (ends - lengths)[owner]
+    owner = np.searchsorted(index.starts, again, "right") - 1
+    offset = again - index.starts[owner]
     cuts = np.flatnonzero((np.diff(offset) != 1) | (np.diff(owner) != 0)) + 1
     firsts, lasts = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(again)]]) - 1
     for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
@@ -338,7 +394,7 @@ def _cut_out(docs: DataFrame, length: int, bits: int, hot: int) -> DataFrame:
                 hit = np.flatnonzero(on_left | on_right)
                 owner = np.searchsorted([e for _, e in ends], first[hit], "right")
                 named = base[hit].view(np.int64).tolist()
-                top = (base[hit] >> np.uint64(64 - VALUE_BITS)).tolist()
+                top = (base[hit] >> np.uint64(64 - _value_bits(slices))).tolist()
                 for s, e, k, anchor, value in zip(first[hit].tolist(), last[hit].tolist(), owner.tolist(), named, top, strict=True):
                     text, place = owners[k]
                     begin = s - ends[k][0] + place
