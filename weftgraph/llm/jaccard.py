@@ -9,8 +9,10 @@ copies, and only classes are compared.
    orders shingles, rarest first (a total order with the hash as tie-break;
    any total order gives right results, this one gives short lists).
 2. A second scan posts the prefix of each class: n - ceil(t n) + 1 rarest
-   shingles of n. Two sets that reach similarity t share one of them.
-   Postings meet by shingle, and shingles posted by one class alone go.
+   shingles of n. Two sets that reach similarity t share one of them. Most of
+   these are posted once in the whole corpus: a filter of those that aren't
+   keeps them in their task. Postings meet by shingle, and what passed the
+   filter though one class alone posts it goes.
 3. Star rounds: on each shingle, the class that stands first in the order
    (fewest rarer shingles before it) leads, and only it is paired with the
    others. Pairs pass the length and positional filters, are made distinct,
@@ -22,6 +24,11 @@ copies, and only classes are compared.
    to reach the similarity, and those that do are verified. So a group of k
    near copies costs about k verifications, and no link between components is
    lost.
+
+Bounds count what two sets may share: before their meeting shingle, what stands
+before it in both prefixes and is open (may pair with another component; a
+shared one is open for both); after it, what is open in both prefixes, and what
+follows the prefix that ends first.
 """
 
 from __future__ import annotations
@@ -39,9 +46,12 @@ from xxhash import xxh3_64_intdigest
 
 from .common import cut, if_small, table, unused
 from .components import components
+from .twice import twice
 
 #: Entries of the table of counts, and the slices it is summed in.
 COUNTS, SLICES = 1 << 20, 64
+#: Bits of the filter of prefix shingles, as a power of two: a broadcast of at most 32 MB.
+FILTER_BITS = 28
 #: Postings of a shingle up to which each is held against the others before pairs are made.
 LONG_RUN = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -149,18 +159,21 @@ def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     return scanned.filter("slice is null").select("doc_id", "n_shingles", "class", "digest"), counts.reshape(-1)
 
 
-def _postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(shingle, class, n, pos, ahead, lead_class, lead_n, lead_pos) of the prefixes; cached for the caller to release.
+def _postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int, size: int, bits: int = FILTER_BITS) -> DataFrame:
+    """(shingle, class, n, pos, ahead, behind, lead_class, lead_n, lead_pos) of the prefixes; cached for the caller to release.
 
-    Only shingles that two classes or more post are there. ahead: such postings
-    of the class before this one. lead: the shingle's first posting by pos, n, class.
+    Only shingles that two classes or more post are there. ahead, behind: such
+    postings of the class before and after this one. lead: the shingle's first
+    posting by pos, n, class. size: bytes of text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(counts)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, int, np.ndarray]]]:
+        """(class, size, prefix) of the sets of some rows."""
         seen: set[bytes] = set()  # copies in one task post once
         for batch in _small(batches):
-            shingles, classes, sizes, places = [], [], [], []
+            out = []
             for text in _texts(batch, "text"):
                 own = shingle_set(text, n)
                 name = class_of(own)
@@ -169,11 +182,26 @@ def _postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> Data
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(name)
-                first = prefix(own, shared.value, percent)
-                shingles.append(first)
-                classes += [name] * len(first)
-                sizes.append(np.full(len(first), len(own), np.int32))
-                places.append(np.arange(len(first), dtype=np.int32))
+                out.append((name, len(own), prefix(own, shared.value, percent)))
+            if out:
+                yield out
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for some in prefixes(batches):
+            yield np.concatenate([first for *_, first in some])
+
+    met = context.broadcast(twice(docs.select("text"), hashes, size, bits))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = met.value.bitmap()
+        for some in prefixes(batches):
+            shingles, classes, sizes, places = [], [], [], []
+            for name, total, first in some:
+                place = np.flatnonzero(met.value.passes(bitmap, first) | (first == 0))
+                shingles.append(first[place])
+                classes += [name] * len(place)
+                sizes.append(np.full(len(place), total, np.int32))
+                places.append(place.astype(np.int32))
             if classes:
                 yield pa.RecordBatch.from_pydict({
                     "shingle": pa.array(np.concatenate(shingles).view(np.int64)),
@@ -226,21 +254,32 @@ def _postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> Data
     posted = docs.select("text").mapInArrow(post, schema)
     met = posted.repartition("shingle").sortWithinPartitions("shingle", "pos", "n", "class")
     met = met.mapInArrow(not_alone, f"{schema}, lead_class binary, lead_n int, lead_pos int")
-    ahead = Window.partitionBy("class").orderBy("pos")
-    return met.withColumn("ahead", F.row_number().over(ahead) - 1).persist(StorageLevel.MEMORY_AND_DISK)
+    return _counted(met).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _counted(postings: DataFrame) -> DataFrame:
+    """Adds ahead and behind: how many postings of the class stand before and after each."""
+    own = Window.partitionBy("class").orderBy("pos")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return postings.withColumn("ahead", F.row_number().over(own) - 1).withColumn(
+        "behind", (F.count("*").over(whole) - F.col("ahead") - 1).cast("int")
+    )
 
 
-def _may_link(x: str, y: str, percent: int, most_ahead: str | None = None) -> Column:
-    """Length and positional filters of two postings of one shingle.
+def _may_link(x: str, y: str, percent: int, lead: bool = False) -> Column:
+    """Length, positional and suffix filters of two postings of one shingle.
 
     What two sets share before it stands in both prefixes, so is among the
-    `ahead` postings that aren't alone; after it, the shorter rest bounds.
-    most_ahead: a column that y's `ahead` can't exceed, where that isn't there.
+    `ahead` open postings of both. What they share after it is among those
+    `behind` in both, up to where one prefix ends, or follows that; and in the
+    shorter rest. lead: of y only place and size are known, which bound its counts.
     """
-    n, n2, pos, pos2 = (F.col(f"{side}{c}") for c in ("n", "pos") for side in (x, y))
-    ahead, ahead2 = F.col(f"{x}ahead"), F.col(most_ahead or f"{y}ahead")
+    n, n2, pos, pos2, ahead, behind = *(F.col(f"{side}{c}") for c in ("n", "pos") for side in (x, y)), F.col(f"{x}ahead"), F.col(f"{x}behind")
+    beyond = lambda size: F.floor((size * percent + 99) / 100) - 1
+    ahead2, behind2 = (pos2, n2 - beyond(n2) - pos2 - 1) if lead else (F.col(f"{y}ahead"), F.col(f"{y}behind"))
     length = F.least(n, n2) * 100 >= F.greatest(n, n2) * percent
-    most = F.least(ahead, ahead2) + 1 + F.least(n - pos - 1, n2 - pos2 - 1)
+    after = F.least(F.least(behind, behind2) + F.greatest(beyond(n), beyond(n2)), n - pos - 1, n2 - pos2 - 1)
+    most = F.least(ahead, ahead2) + 1 + after
     return length & (most * 100 >= (n + n2 - most) * percent)
 
 
@@ -295,18 +334,18 @@ def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int)
 def class_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, class, digest) of all rows, and (node, component) of the classes that have links."""
     classes, counts = _classes(docs, n)
-    postings = _postings(docs, counts, n, percent)
-    # first round: what the lead's `ahead` would be is at most its place
-    fit = (F.col("class") != F.col("lead_class")) & _may_link("", "lead_", percent, "lead_pos")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    postings = _postings(docs, counts, n, percent, size)
+    fit = (F.col("class") != F.col("lead_class")) & _may_link("", "lead_", percent, lead=True)
     pairs = postings.filter(fit).groupBy(F.col("class").alias("a"), F.col("lead_class").alias("b")).count()
     # a pair that meets on one shingle is most often chance: it's left to the last round, which can tell
     tried = _verified(pairs.filter("count > 1"), docs, classes, n, percent)
     labels = components(tried.filter("link"))
-    open_ = _open(_labelled(postings.select("shingle", "class", "n", "pos", "ahead"), labels), percent)
+    open_ = _open(_labelled(postings.select(*OPEN[:-1]), labels), percent)
     postings.unpersist()
     star = True
     while True:
-        lead = F.min(F.struct("pos", "n", "ahead", "class", "component")).alias("lead")
+        lead = F.min(F.struct("pos", "n", "ahead", "behind", "class", "component")).alias("lead")
         if star:
             both = open_.join(open_.groupBy("shingle").agg(lead), "shingle")
             fit = (F.col("component") != F.col("lead.component")) & _may_link("", "lead.", percent)
@@ -328,7 +367,7 @@ def class_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFra
         tried = tried.unionAll(done)
         if fresh:
             labels = components(tried.filter("link"))
-            open_ = _open(_labelled(open_.drop("component"), labels), percent)
+            open_ = _open(_labelled(open_.drop("component", "ahead", "behind"), labels), percent)
         if not star:
             return classes, labels
         star = fresh
@@ -340,9 +379,14 @@ def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return postings.join(if_small(own), "class", "left").withColumn("component", F.coalesce("of", "class")).drop("of")
 
 
-def _open(named: DataFrame, percent: int, longest: int = LONG_RUN) -> DataFrame:
+OPEN = ("shingle", "class", "n", "pos", "ahead", "behind", "component")
+
+
+def _open(named: DataFrame, percent: int, longest: int = LONG_RUN, times: int = 2) -> DataFrame:
     """Postings that may pair with one of another component on the same shingle; checkpointed.
 
+    Those that go make the bounds of the rest tighter, so they are held against each other `times` times.
+
     Rows come sorted by shingle; each is held against the others of its shingle
     by the filters. Shingles of more than `longest` postings stay whole, so no
     group is held in memory beyond that.
@@ -366,7 +410,8 @@ def _open(named: DataFrame, percent: int, longest: int = LONG_RUN) -> DataFrame:
         if not rows.num_rows:
             return
         rows = rows.combine_chunks()
-        shingle, n, pos, ahead = (rows.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n", "pos", "ahead"))
+        shingle, n, pos, ahead, behind = (rows.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n", "pos", "ahead", "behind"))
+        beyond = (n * percent + 99) // 100 - 1
         part = np.array(rows.column("component").to_pylist(), "S16")
         keep = shingle == whole if whole is not None else np.zeros(len(shingle), bool)
         for k in range(1, len(shingle)):
@@ -374,16 +419,19 @@ def _open(named: DataFrame, percent: int, longest: int = LONG_RUN) -> DataFrame:
             if not same.any():
                 break
             a, b = np.flatnonzero(same), np.flatnonzero(same) + k
-            most = np.minimum(ahead[a], ahead[b]) + 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1
+            after = np.minimum(behind[a], behind[b]) + np.maximum(beyond[a], beyond[b])
+            most = np.minimum(ahead[a], ahead[b]) + 1 + np.minimum(after, np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1)
             fit = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (100 * most >= percent * (n[a] + n[b] - most))
             fit &= part[a] != part[b]
             keep[a[fit]] = keep[b[fit]] = True
         if keep.any():
             yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
 
-    schema = "shingle long, class binary, n int, pos int, ahead int, component binary"
-    rows = named.select("shingle", "class", "n", "pos", "ahead", "component").repartition("shingle").sortWithinPartitions("shingle")
-    return cut(rows.mapInArrow(partners, schema))
+    schema = "shingle long, class binary, n int, pos int, ahead int, behind int, component binary"
+    for k in range(times):
+        own = named if k == 0 and "ahead" in named.columns else _counted(named.drop("ahead", "behind"))
+        named = cut(own.select(*OPEN).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(partners, schema))
+    return _counted(named.drop("ahead", "behind"))
 
 
 def _last_run(rows: pa.Table) -> int:

@@ -26,11 +26,9 @@ text, then by start.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,13 +36,12 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .common import table
+from .twice import twice
 
 LENGTH = 100
 GRAM = 32
-#: Bits of the filter, as a power of two (a broadcast of at most 64 MB), and bits set for a value.
-FILTER_BITS, PROBES = 29, 3
-#: The least number of slices of the filter, bits of a value with those, and bytes of input for each slice beyond.
-SLICES, VALUE_BITS, SLICE_BYTES = 64, 40, 1 << 24
+#: Bits of the filter, as a power of two: a broadcast of at most 64 MB.
+FILTER_BITS = 29
 #: Bytes of text hashed at once; a longer text is taken in pieces.
 PIECE = 1 << 19
 #: Bytes of segments indexed at once, and occurrences of an anchor from which its strings go one by one.
@@ -142,94 +139,14 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _positions(values: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Places of values in a slice of the filter with so many bits."""
-    for k in range(PROBES):
-        yield ((values * _P[k]) >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _value_bits(slices: int) -> int:
-    """Bits of a value: a slice holds as many bytes of input at every size, so each doubling of slices adds a bit."""
-    return min(64, VALUE_BITS + (slices // SLICES).bit_length() - 1)
-
-
-def _hashes(data: bytes, ends: list[tuple[int, int]], length: int, slices: int) -> np.ndarray:
-    *_, base, left, right = segments(np.frombuffer(data, np.uint8), ends, length)
-    every = np.concatenate([base, left[left > 0], right[right > 0]])
-    return every >> np.uint64(64 - _value_bits(slices))
-
-
-def _repeated(docs: DataFrame, length: int, bits: int, hot: int) -> tuple[list[bytes], np.ndarray]:
-    """The filter of hashes that occur twice, in compressed slices, and the hashes that occur more than `hot` times."""
-    # a slice's owner holds its values, so there are more slices for more input
-    size, slices = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, SLICES
-    while slices < size / SLICE_BYTES:
-        slices *= 2
-    per_slice, own_bits = (1 << _value_bits(slices)) // slices, max(8, (1 << bits) // slices)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-
-        def packed() -> pa.RecordBatch:
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(values, np.arange(1, slices, dtype=np.uint64) * np.uint64(per_slice))
-            times = np.minimum(times, 65535).astype(np.uint16)
-            seen, often = [], []
-            for v, t in zip(np.split(values, cuts), np.split(times, cuts), strict=True):
-                seen.append(zlib.compress(np.diff(v, prepend=np.uint64(0)).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1))
-                often.append(zlib.compress(t.tobytes(), 1))
-            return pa.RecordBatch.from_pydict({
-                "slice": pa.array(range(slices), pa.int32()), "seen": pa.array(seen, pa.binary()), "times": pa.array(often, pa.binary()),
-            })
-
+def _hashes(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             for data, ends, _ in pieces(_bytes(batch.column(0)), length):
-                held.append(_hashes(data, ends, length, slices))
-                count += len(held[-1])
-            if count > 6_000_000:
-                yield packed()
-                held, count = [], 0
-        if held:
-            yield packed()
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, list] = {}
-        for batch in batches:
-            for k, seen, often in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                # bytes stand by their place in the value, which packs better
-                steps = np.frombuffer(zlib.decompress(seen), np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(-1)
-                own.setdefault(k, []).append((np.cumsum(steps, dtype=np.uint64), np.frombuffer(zlib.decompress(often), np.uint16)))
-        for k, parts in own.items():
-            values, place = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
-            times = np.bincount(place, np.concatenate([t for _, t in parts]), len(values))
-            filled = np.zeros(own_bits, bool)
-            for at in _positions(values[times > 1], own_bits):
-                filled[at] = True
-            yield pa.RecordBatch.from_pydict({
-                "slice": pa.array([k], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(filled).tobytes(), 1)], pa.binary()),
-                "hot": pa.array([values[times > hot].tobytes()], pa.binary()),
-            })
-
-    scanned = docs.select("text").mapInArrow(scan, "slice int, seen binary, times binary")
-    rows = scanned.repartition(slices, "slice").mapInArrow(add_up, "slice int, bits binary, hot binary").collect()
-    # at most 2^bits / 8 bytes, and a hash for every `hot` anchors of the corpus
-    out = [zlib.compress(bytes(own_bits // 8), 1)] * slices
-    for k, blob, _ in rows:
-        out[k] = blob
-    return out, np.sort(np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.uint64))
-
-
-def _passes(bitmap: np.ndarray, hashes: np.ndarray, slices: int) -> np.ndarray:
-    """Which hashes the filter holds; 0 stands for none."""
-    bits = _value_bits(slices)
-    values = hashes >> np.uint64(64 - bits)
-    own_bits = len(bitmap) * 8 // slices
-    start = (values // np.uint64((1 << bits) // slices)).astype(np.int64) * own_bits
-    out = hashes > 0
-    for at in _positions(values, own_bits):
-        at += start
-        out &= (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-    return out
+                *_, base, left, right = segments(np.frombuffer(data, np.uint8), ends, length)
+                yield np.concatenate([base, left[left > 0], right[right > 0]])
+
+    return of
 
 
 class RunIndex:
@@ -350,14 +267,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _cut_out(docs: DataFrame, length: int, bits: int, hot: int) -> DataFrame:
     """Segments that pass the filter, a task's first places only; rows without a segment are repeats."""
-    filter_slices, hot_values = _repeated(docs, length, bits, hot)
-    slices = len(filter_slices)
-    shared = docs.sparkSession.sparkContext.broadcast((filter_slices, hot_values))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shared = docs.sparkSession.sparkContext.broadcast(twice(docs.select("text"), _hashes(length), size, bits, hot))
     half = (length - GRAM) // 2
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(b"".join(map(zlib.decompress, shared.value[0])), np.uint8)
-        hot_ones = set(shared.value[1].tolist())
+        met = shared.value
+        bitmap, hot_ones = met.bitmap(), set(met.hot.tolist())
         best: dict[bytes, tuple] = {}
         out: list[tuple] = []
 
@@ -387,14 +303,14 @@ def _cut_out(docs: DataFrame, length: int, bits: int, hot: int) -> DataFrame:
             doc_ids, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for data, ends, owners in pieces(_bytes(batch.column(2)), length):
                 first, last, at, base, left, right = segments(np.frombuffer(data, np.uint8), ends, length)
-                on_left, on_right = _passes(bitmap, left, slices), _passes(bitmap, right, slices)
+                on_left, on_right = met.passes(bitmap, left), met.passes(bitmap, right)
                 # only the half that may repeat is cut out
                 first = np.where(on_left, first, np.maximum(first, at - half + 1))
                 last = np.where(on_right, last, np.minimum(last, at - half))
                 hit = np.flatnonzero(on_left | on_right)
                 owner = np.searchsorted([e for _, e in ends], first[hit], "right")
                 named = base[hit].view(np.int64).tolist()
-                top = (base[hit] >> np.uint64(64 - _value_bits(slices))).tolist()
+                top = met.values(base[hit]).tolist()
                 for s, e, k, anchor, value in zip(first[hit].tolist(), last[hit].tolist(), owner.tolist(), named, top, strict=True):
                     text, place = owners[k]
                     begin = s - ends[k][0] + place
