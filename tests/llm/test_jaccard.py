@@ -106,13 +106,15 @@ def test_components_of_a_long_path(spark):
 def test_postings_without_partners_go(spark):
     rng = random.Random(6)
     sizes = {k: rng.choice([1, 2, 5, 40]) for k in range(30)}
-    rows = [(k, bytes([k, i]) * 8, rng.randrange(20, 60), rng.randrange(4), 0, bytes([k, i % 3]) * 8) for k, m in sizes.items() for i in range(m)]
-    named = spark.createDataFrame(rows, "shingle long, class binary, n int, pos int, ahead int, component binary")
+    rows = [(k, bytes([k, i]) * 8, rng.randrange(20, 60), rng.randrange(4), bytes([k, i % 3]) * 8) for k, m in sizes.items() for i in range(m)]
+    named = spark.createDataFrame(rows, "shingle long, class binary, n int, pos int, component binary")
     own = {longest: {(r.shingle, bytes(r["class"])) for r in jaccard._open(named, 85, longest).collect()} for longest in (3, 10, 512)}
 
     def fits(x, y):
-        most = 1 + min(x[2] - x[3] - 1, y[2] - y[3] - 1)
-        return x[5] != y[5] and 100 * min(x[2], y[2]) >= 85 * max(x[2], y[2]) and 100 * most >= 85 * (x[2] + y[2] - most)
+        # each class has one posting, so shares nothing before it, and after it what follows a prefix at most
+        beyond = max(-(-85 * r[2] // 100) - 1 for r in (x, y))
+        most = 1 + min(beyond, x[2] - x[3] - 1, y[2] - y[3] - 1)
+        return x[4] != y[4] and 100 * min(x[2], y[2]) >= 85 * max(x[2], y[2]) and 100 * most >= 85 * (x[2] + y[2] - most)
 
     exact = {(x[0], x[1]) for x in rows for y in rows if x[0] == y[0] and fits(x, y)}
     assert own[512] == exact

@@ -33,6 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """`df`, a checkpoint, in no more partitions than one for each `rows` of its rows."""
+    return df.coalesce(df.count() // rows + 1)
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows, else unchanged.
 

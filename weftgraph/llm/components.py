@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, packed
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,11 +33,11 @@ def components(links: DataFrame) -> DataFrame:
     grows with the logarithm of a component's size; each is checkpointed.
     Rows with a = b only name a node.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = packed(cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()))
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     last = print_of(edges)
     while last[0]:
-        edges = cut(_small_star(_large_star(edges)))
+        edges = packed(cut(_small_star(_large_star(edges))))
         now = print_of(edges)
         if now == last:
             break

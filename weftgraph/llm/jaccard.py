@@ -13,17 +13,15 @@ copies, and only classes are compared.
    these are posted once in the whole corpus: a filter of those that aren't
    keeps them in their task. Postings meet by shingle, and what passed the
    filter though one class alone posts it goes.
-3. Star rounds: on each shingle, the class that stands first in the order
-   (fewest rarer shingles before it) leads, and only it is paired with the
-   others. Pairs pass the length and positional filters, are made distinct,
-   and are verified once on their texts, a suffix filter first. Links give
-   components. After the first round only postings stay that may still pair
-   with one of another component.
-4. When a round links nothing more, the pairs left, those on one shingle but
-   in different components, are made; they must share enough of their prefixes
-   to reach the similarity, and those that do are verified. So a group of k
-   near copies costs about k verifications, and no link between components is
-   lost.
+3. Star rounds: on each shingle, the classes that stand first in the order
+   (fewest rarer shingles before it) lead: one in the first two rounds, then
+   eight times as many in each. Every other class on the shingle that passes the filters is
+   paired with the leaders; pairs are made distinct and verified once on their
+   texts. Links give components, and pairs within one needn't be tried.
+4. A leader's posting is settled after its round: what may link to it there has
+   been tried. Of the rest, postings go that can't pair with one of another
+   component any more, and rounds end when none are left. So a group of k near
+   copies costs about k verifications, and no link between components is lost.
 
 Bounds count what two sets may share: before their meeting shingle, what stands
 before it in both prefixes and is open (may pair with another component; a
@@ -44,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut, if_small, table, unused
+from .common import cut, if_small, packed, table, unused
 from .components import components
 from .twice import twice
 
@@ -52,6 +50,8 @@ from .twice import twice
 COUNTS, SLICES = 1 << 20, 64
 #: Bits of the filter of prefix shingles, as a power of two: a broadcast of at most 32 MB.
 FILTER_BITS = 28
+#: Pairs that a task verifies at least, before there are more tasks.
+PAIRS = 500
 #: Postings of a shingle up to which each is held against the others before pairs are made.
 LONG_RUN = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -297,7 +297,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, per
                 out.append(linked(shingle_set(zlib.decompress(x), n), kept, percent))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "link": pa.array(out)})
 
-    pairs = cut(pairs.select("a", "b"))
+    pairs = packed(cut(pairs.select("a", "b")), PAIRS)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     texts = _class_texts(docs, classes, cut(wanted), n)
 
@@ -307,13 +307,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, per
         return own.select(F.col("class").alias(name), F.col("text").alias(f"text_{name}"))
 
     joined = side("a").join(if_small(pairs), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return cut(joined.mapInArrow(verify, "a binary, b binary, link boolean"))
+    return packed(cut(joined.mapInArrow(verify, "a binary, b binary, link boolean")))
 
 
 def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(class, text) for the classes in `wanted`, of one row each; checkpointed. Texts are compressed: pairs move them."""
     reps = classes.join(if_small(wanted), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    reps = cut(reps.withColumnRenamed("class", "expected"))
+    reps = packed(cut(reps.withColumnRenamed("class", "expected")))
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # rows may share a doc_id and not the text
@@ -328,7 +328,7 @@ def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = own.join(if_small(reps), F.col("doc_id").eqNullSafe(F.col("rep"))).select("expected", "text")
-    return cut(found.mapInArrow(right, "class binary, text binary"))
+    return packed(cut(found.mapInArrow(right, "class binary, text binary")), PAIRS)
 
 
 def class_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -337,40 +337,35 @@ def class_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFra
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     postings = _postings(docs, counts, n, percent, size)
     fit = (F.col("class") != F.col("lead_class")) & _may_link("", "lead_", percent, lead=True)
-    pairs = postings.filter(fit).groupBy(F.col("class").alias("a"), F.col("lead_class").alias("b")).count()
-    # a pair that meets on one shingle is most often chance: it's left to the last round, which can tell
-    tried = _verified(pairs.filter("count > 1"), docs, classes, n, percent)
+    tried = _verified(_once(postings.filter(fit), "class", "lead_class"), docs, classes, n, percent)
     labels = components(tried.filter("link"))
-    open_ = _open(_labelled(postings.select(*OPEN[:-1]), labels), percent)
+    # whatever may link to a leader on its shingle has been tried, so the leader's own posting is settled
+    left = postings.filter("class <> lead_class").select(*OPEN[:-1])
+    open_ = _open(_labelled(left, labels), percent, times=2)
     postings.unpersist()
-    star = True
-    while True:
-        lead = F.min(F.struct("pos", "n", "ahead", "behind", "class", "component")).alias("lead")
-        if star:
-            both = open_.join(open_.groupBy("shingle").agg(lead), "shingle")
-            fit = (F.col("component") != F.col("lead.component")) & _may_link("", "lead.", percent)
-            pairs = both.filter(fit).groupBy(F.col("class").alias("a"), F.col("lead.class").alias("b")).count().filter("count > 1")
-        else:
-            x, y = open_.alias("x"), open_.alias("y")
-            fit = (F.col("x.component") != F.col("y.component")) & (F.col("x.class") < F.col("y.class")) & _may_link("x.", "y.", percent)
-            pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).filter(fit)
-            pairs = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(
-                F.count("*").alias("shared"), F.greatest(F.max("x.n"), F.max("y.n")).alias("n"), F.min(F.col("x.n") + F.col("y.n")).alias("total")
-            )
-            # of the two prefixes, one ends first in the global order; its postings meet all their equals, and only
-            # what stands behind it may be shared besides
-            most = F.col("shared") + F.ceil(F.col("n") * percent / 100) - 1
-            pairs = pairs.filter(most * 100 >= (F.col("total") - most) * percent).select("a", "b")
+    leaders = 1
+    while not open_.isEmpty():
+        order = Window.partitionBy("shingle").orderBy("pos", "n", "class")
+        ranked = open_.withColumn("turn", F.row_number().over(order))
+        x, y = ranked.alias("x"), ranked.filter(F.col("turn") <= leaders).alias("y")
+        fit = (F.col("x.turn") > F.col("y.turn")) & (F.col("x.component") != F.col("y.component")) & _may_link("x.", "y.", percent)
+        pairs = _once(x.join(y, F.col("x.shingle") == F.col("y.shingle")).filter(fit), "x.class", "y.class")
         known = tried.select("a", "b").unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        done = _verified(pairs.select("a", "b").join(known, ["a", "b"], "left_anti"), docs, classes, n, percent)
-        fresh = not done.filter("link").isEmpty()
+        done = _verified(pairs.join(known, ["a", "b"], "left_anti"), docs, classes, n, percent)
         tried = tried.unionAll(done)
-        if fresh:
+        if not done.filter("link").isEmpty():
             labels = components(tried.filter("link"))
-            open_ = _open(_labelled(open_.drop("component", "ahead", "behind"), labels), percent)
-        if not star:
-            return classes, labels
-        star = fresh
+        left = ranked.filter(F.col("turn") > leaders).drop("turn", "component", "ahead", "behind")
+        open_ = _open(_labelled(left, labels), percent)
+        leaders *= 8
+    return classes, labels
+
+
+def _once(met: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b): each pair of classes in one direction, whichever it met in."""
+    pair = F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = met.select(pair.alias("pair")).groupBy(F.least("pair.a", "pair.b").alias("u"), F.greatest("pair.a", "pair.b").alias("v"))
+    return both.agg(F.max("pair").alias("pair")).select("pair.a", "pair.b")
 
 
 def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -428,10 +423,10 @@ def _open(named: DataFrame, percent: int, longest: int = LONG_RUN, times: int =
             yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
 
     schema = "shingle long, class binary, n int, pos int, ahead int, behind int, component binary"
-    for k in range(times):
-        own = named if k == 0 and "ahead" in named.columns else _counted(named.drop("ahead", "behind"))
-        named = cut(own.select(*OPEN).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(partners, schema))
-    return _counted(named.drop("ahead", "behind"))
+    for _ in range(times):
+        own = _counted(named.drop("ahead", "behind")).select(*OPEN)
+        named = packed(cut(own.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(partners, schema)))
+    return named
 
 
 def _last_run(rows: pa.Table) -> int:
