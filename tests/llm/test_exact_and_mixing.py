@@ -53,12 +53,48 @@ def test_empty(docs_of):
     assert mixing.mix(docs_of([])).count() == 0
 
 
-def test_directory_doubles_where_it_overflows():
-    slots = exact_dedup.directory({0: 100, 1: 100, 40_000: 1}, 60)
-    assert len(slots) == 1 << 16 and slots[0] != slots[1] and len(set(slots[1 << 15 :])) == 1
-    assert exact_dedup.directory({5: 10}, 60) == [0]
-    every = {p: 4 for p in range(1 << 16)}
-    assert len(exact_dedup.directory(every, 1 << 14)) == 16
+def buckets_of(docs, capacity, **more):
+    index = exact_dedup.index_entries(docs, more.get("key_bits", 64))
+    shared = exact_dedup.cut(index.groupBy("key").count().filter("count > 1").select("key"))
+    return exact_dedup.build(docs, shared, capacity, **more)
+
+
+def test_overfull_buckets_are_split_on_disk(spark, docs_of):
+    docs = docs_of([(i, f"text {i % 60}") for i in range(240)], parts=1)
+    files = buckets_of(docs, 2)
+    first = min(files.depths)
+    assert len(files.depths) > 1 and files.dead[first]  # loaded at one depth, split to others
+    rows = files.live(spark).collect()
+    assert len(rows) == 60 and sum(r.n for r in rows) == 240
+    fill = defaultdict(list)
+    for r in rows:
+        assert r.bucket == (r.key % 2**64) >> (64 - r.depth)
+        fill[r.depth, r.bucket].append(r)
+    assert all(len(v) <= 2 for v in fill.values())
+    # untouched buckets are shared by several slots of the directory
+    assert {d for d, _ in fill} != {max(files.depths)}
+
+
+def test_owners_chain_collisions_and_compare_bytes(spark, docs_of):
+    docs = docs_of([(i, f"text {i % 30}") for i in range(90)], parts=3)
+    files = buckets_of(docs, 4, key_bits=2, tag_chars=0)
+    links = exact_dedup.chains(files, spark).collect()
+    assert len(links) == 30 and {r.group_size for r in links} == {3} and {r.keep_id for r in links} == set(range(60, 90))
+    chain = defaultdict(list)
+    for r in links:
+        chain[r.key].append(r.link)
+    assert len(chain) <= 4 and all(sorted(v) == list(range(1, len(v) + 1)) for v in chain.values())
+    # a bucket of one key can't be split, however full
+    keys = defaultdict(list)
+    for r in files.live(spark).collect():
+        keys[r.depth, r.bucket].append(r.key)
+    assert all(len(v) <= 4 or len(set(v)) == 1 for v in keys.values()) and max(map(len, keys.values())) > 4
+
+
+def test_hot_text_leaves_few_entries(spark, docs_of):
+    docs = docs_of([(i, "the same" if i % 3 else f"other {i // 2}") for i in range(900)], parts=40)
+    hot = [r for r in buckets_of(docs, 1000).live(spark).collect() if r.norm == "the same"]
+    assert len(hot) <= exact_dedup.SALTS and sum(r.n for r in hot) == 600
 
 
 def water(sizes, weights):

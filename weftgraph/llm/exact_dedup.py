@@ -1,123 +1,150 @@
-"""Exact deduplication by an extendible-hash index. DataFrame functions only.
-
-1. One scan reduces every row to an index entry (key, tag, doc_id, row): the
-   64-bit hash of its normalised text is the key, the SHA-256 the tag. Entries
-   are checkpointed in the shared folder; texts aren't moved.
-2. The directory starts at one bucket and doubles while a bucket holds more
-   distinct keys than its capacity. It is worked out from the histogram of key
-   prefixes, which has at most 2^MAX_DEPTH rows. A bucket is a range of keys.
-3. Keys with more than one entry are candidates. Only their texts are moved,
-   to the owner of the bucket, where equal bytes fall into one chain link;
-   partial aggregation folds copies on the map side first, so a text held by a
-   third of the rows sends one row a task.
-4. Entries take over the survivor and size of their link. A join on keys does
-   this; adaptive execution splits a hot key.
+"""Exact deduplication by an extendible-hash index on shared files. DataFrame functions only.
+
+1. One scan reduces every row to an entry (key, sha, doc_id, row): the 64-bit
+   hash of its normalised text is the key. Entries are checkpointed in the
+   shared folder; texts aren't moved.
+2. Keys with more than one entry are candidates. Their texts fold on the map
+   side, so a text held by a third of the rows leaves at most SALTS entries with
+   counts, and go into bucket files in the shared folder. A bucket holds the keys
+   that begin with its bits; its folder names how many bits and which.
+3. A bucket with more entries than the capacity is split: its file is read and
+   written again as buckets of more bits, which doubles the directory where the
+   bucket was as deep as the directory itself. Buckets that fit aren't touched.
+   A bucket of a single key can't be split and stays one chain.
+4. Each bucket, a range of keys, goes to one owner task, which chains the entries
+   of a key, compares their bytes, and adds up entries of equal bytes.
+5. Rows take over the survivor and size of their link by a join on key and SHA-256;
+   adaptive execution splits a hot key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from .common import ascii_lower, cut, if_small, table, text_of, unused
-
-MAX_DEPTH = 16
-
-
-def directory(histogram: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> list[int]:
-    """Buckets of an extendible-hash directory of 2^depth slots.
-
-    histogram: distinct keys by prefix of `max_depth` bits. Overfull buckets are
-    split, doubling the directory when one is as deep as the directory itself.
-    Slots of a bucket that wasn't split at the last doublings share its number,
-    which is its first slot.
-    """
-    depth, local = 0, [0]
-    counts = [sum(histogram.values())]
-
-    def keys(slot: int, depth: int) -> int:
-        width = 1 << (max_depth - depth)
-        return sum(histogram.get(p, 0) for p in range(slot * width, (slot + 1) * width)) if width <= len(histogram) else sum(
-            n for p, n in histogram.items() if p // width == slot
-        )
-
-    while depth < max_depth and any(n > capacity and d == depth for n, d in zip(counts, local, strict=True)):
-        depth += 1
-        local = [d + 1 if d == depth - 1 and n > capacity else d for n, d in zip(counts, local, strict=True) for _ in (0, 1)]
-        counts = [
-            keys(slot, depth) if local[slot] == depth else n
-            for slot, n in enumerate(n for n in counts for _ in (0, 1))
-        ]
-    return [slot >> (depth - d) << (depth - d) for slot, d in enumerate(local)]
-
-
-def index_entries(docs: DataFrame, key_bits: int = 64, tag_chars: int = 64) -> DataFrame:
-    """(doc_id, row, key, tag, sha): an entry for each row, checkpointed.
-
-    key_bits and tag_chars shorten key and tag, to force collisions in tests.
-    """
-    return cut(
-        docs.select("doc_id", F.monotonically_increasing_id().alias("row"), ascii_lower(text_of()).alias("norm"))
-        .select("doc_id", "row", _key(key_bits).alias("key"), F.sha2("norm", 256).alias("sha"))
-        .withColumn("tag", F.substring("sha", 1, tag_chars))
-    )
+import uuid
+from dataclasses import dataclass, field
+from math import ceil, log2
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def _key(bits: int):
+from .common import ascii_lower, cut, if_small, shared_folder, table, text_of, unused
+
+#: Entries that a hot text may leave.
+SALTS = 16
+#: Bits that a bucket's number can have.
+MAX_DEPTH = 63
+ENTRY = "key long, tag string, norm string, n long, keep_id {id}, bucket long"
+
+
+def bucket_of(depth: int) -> Column:
+    """The first `depth` bits of a key."""
+    return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+
+
+@dataclass
+class BucketFiles:
+    """Buckets as Parquet folders `depth=<bits>/bucket=<number>` in `base`; split ones stay there but are dead."""
+
+    base: str
+    schema: str
+    capacity: int
+    dead: dict[int, list[int]] = field(default_factory=dict)
+    depths: set[int] = field(default_factory=set)
+
+    def write(self, entries: DataFrame, depth: int) -> None:
+        """One file a bucket."""
+        named = entries.withColumn("bucket", bucket_of(depth)).repartition("bucket")
+        named.write.mode("append").partitionBy("bucket").parquet(f"{self.base}/depth={depth}")
+        self.depths.add(depth)
+
+    def read(self, spark, depth: int) -> DataFrame:
+        rows = spark.read.schema(self.schema).parquet(f"{self.base}/depth={depth}")
+        return rows.filter(~F.col("bucket").isin(self.dead[depth])) if self.dead.get(depth) else rows
+
+    def split(self, spark) -> None:
+        """Splits overfull buckets until none is left that has more than one key; by as many bits as the fill asks for."""
+        fresh = set(self.depths)
+        while fresh:
+            wanted: dict[tuple[int, int], list[int]] = {}
+            for depth in sorted(fresh):
+                fill = self.read(spark, depth).groupBy("bucket").agg(F.count("*").alias("n"), (F.min("key") < F.max("key")).alias("several"))
+                for row in fill.filter((F.col("n") > self.capacity) & F.col("several")).collect() if depth < MAX_DEPTH else ():
+                    to = min(MAX_DEPTH, depth + ceil(log2(row["n"] / self.capacity)))
+                    wanted.setdefault((depth, to), []).append(row["bucket"])
+            fresh = set()
+            for (depth, to), buckets in wanted.items():
+                self.write(self.read(spark, depth).filter(F.col("bucket").isin(buckets)).drop("bucket"), to)
+                fresh.add(to)
+            for (depth, _), buckets in wanted.items():
+                self.dead.setdefault(depth, []).extend(buckets)
+
+    def live(self, spark) -> DataFrame:
+        """All entries with the depth and number of their bucket."""
+        parts = [self.read(spark, depth).withColumn("depth", F.lit(depth)) for depth in sorted(self.depths)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+
+def index_entries(docs: DataFrame, key_bits: int = 64) -> DataFrame:
+    """(doc_id, row, key, sha): an entry for each row, checkpointed. key_bits shortens keys, to force collisions in tests."""
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), ascii_lower(text_of()).alias("norm"))
+    return cut(rows.select("doc_id", "row", _key(key_bits).alias("key"), F.sha2("norm", 256).alias("sha")))
+
+
+def _key(bits: int) -> Column:
     key = F.xxhash64("norm")
     return key if bits == 64 else F.shiftleft(F.shiftrightunsigned(key, 64 - bits), 64 - bits)
 
 
-def exact_groups(docs: DataFrame, capacity: int = 1_000_000, key_bits: int = 64, tag_chars: int = 64) -> DataFrame:
+def build(docs: DataFrame, shared: DataFrame, capacity: int, key_bits: int = 64, tag_chars: int = 64) -> BucketFiles:
+    """Bucket files of the texts whose keys are in `shared`, a checkpoint."""
+    spark = docs.sparkSession
+    texts = (
+        docs.select("doc_id", ascii_lower(text_of()).alias("norm"))
+        .select("doc_id", "norm", _key(key_bits).alias("key"))
+        .join(if_small(shared), "key", "left_semi")
+        .withColumn("tag", F.substring(F.sha2("norm", 256), 1, tag_chars))
+        .withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    )
+    folded = texts.groupBy("key", "tag", "norm", "salt").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).drop("salt")
+    files = BucketFiles(f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}", ENTRY.format(id=dict(docs.dtypes)["doc_id"]), capacity)
+    # the keys are counted, so the index is loaded at the depth where its buckets are half full, and grows from there
+    keys = shared.count()
+    files.write(folded, max(0, ceil(log2(2 * keys / capacity))) if keys else 0)
+    files.split(spark)
+    return files
+
+
+def chains(files: BucketFiles, spark) -> DataFrame:
+    """(depth, bucket, key, tag, link, sha, group_size, keep_id): a row for each distinct text, by the owners of the buckets."""
+    owned = files.live(spark).repartition("depth", "bucket")
+    # the owner has its bucket whole, so neither the comparison of bytes nor the numbering of links moves a row
+    links = owned.groupBy("depth", "bucket", "key", "tag", "norm").agg(F.sum("n").alias("group_size"), F.max("keep_id").alias("keep_id"))
+    chain = Window.partitionBy("depth", "bucket", "key", "tag").orderBy("norm")
+    links = links.withColumn("link", F.row_number().over(chain)).withColumn("sha", F.sha2("norm", 256))
+    return cut(links.select("depth", "bucket", "key", "tag", "link", "sha", "group_size", "keep_id"))
+
+
+def exact_groups(docs: DataFrame, capacity: int = 16_384, key_bits: int = 64, tag_chars: int = 64) -> DataFrame:
     """A row for each row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, key.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty.
     The row with the largest doc_id of a group stays (a null doc_id is below all
     others). Rows repeated with one doc_id and text are copies of each other:
     just one of them is kept. Other columns of `docs` aren't read. An empty
-    table gives an empty result.
+    table gives an empty result. Rows meet their link by key and SHA-256, so two
+    texts with one SHA-256, which owners tell apart, aren't expected to exist.
     """
-    index = index_entries(docs, key_bits, tag_chars)
-    shared = cut(
-        index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    )
-    prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH)
-    histogram = {r["p"]: r["n"] for r in shared.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
-    slots = directory(histogram, capacity)
-    depth = len(slots).bit_length() - 1
-    starts = sorted(set(slots))
-    slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0)
-    bucket = F.expr(f"array({','.join(map(str, slots))})")[slot.cast("int")] if len(starts) > 1 else F.lit(0)
-
-    texts = (
-        docs.select("doc_id", ascii_lower(text_of()).alias("norm"))
-        .select("doc_id", "norm", _key(key_bits).alias("key"))
-        .join(if_small(shared), "key", "left_semi")
-        .withColumn("bucket", bucket)
-        .withColumn("tag", F.substring(F.sha2("norm", 256), 1, tag_chars))
-    )
-    links = texts.groupBy("bucket", "key", "tag", "norm").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
-    # two texts with one key are two links of its chain; the tag tells which, unless it collides as well
-    chains = cut(
-        links.groupBy("bucket", "key", "tag").agg(
-            F.count("*").alias("texts"), F.max("n").alias("group_size"), F.max("keep_id").alias("keep_id")
-        )
-    )
-    index = index.withColumn("link", F.lit(0))
-    plain = chains.filter("texts = 1").select("key", "tag", F.lit(0).alias("link"), "group_size", "keep_id")
-    if not chains.filter("texts > 1").isEmpty():
-        index, more = _collided(index, texts, chains.filter("texts > 1"))
-        plain = plain.unionByName(more)
-    plain = plain.select(*(F.col(c).alias(f"_{c}") for c in plain.columns))
-    out = index.join(
-        plain, (F.col("key") == F.col("_key")) & (F.col("tag") == F.col("_tag")) & (F.col("link") == F.col("_link")), "left"
-    )
+    index = index_entries(docs, key_bits)
+    shared = cut(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    links = chains(build(docs, shared, capacity, key_bits, tag_chars), docs.sparkSession)
+    links = links.select(*(F.col(c).alias(f"_{c}") for c in ("key", "sha", "group_size", "keep_id")))
+    out = index.join(links, (F.col("key") == F.col("_key")) & (F.col("sha") == F.col("_sha")), "left")
     out = out.select(
         "doc_id",
         "row",
         "key",
-        "tag",
-        "link",
         F.when(F.col("_group_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep_id")).alias("keep_id"),
         F.coalesce("_group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("sha").alias("text_sha256"),
@@ -125,30 +152,15 @@ def exact_groups(docs: DataFrame, capacity: int = 1_000_000, key_bits: int = 64,
     return _mark(out)
 
 
-def _collided(index: DataFrame, texts: DataFrame, clashing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Different texts with one key and one tag: their rows get the number of their link."""
-    keys = clashing.select("key", "tag")
-    own = texts.join(if_small(keys), ["key", "tag"], "left_semi")
-    links = cut(
-        own.groupBy("key", "tag", "norm")
-        .agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"), F.first(F.sha2("norm", 256)).alias("sha"))
-        .withColumn("link", F.row_number().over(Window.partitionBy("key", "tag").orderBy("norm")))
-    )
-    named = index.join(
-        links.select("key", "tag", "sha", F.col("link").alias("other")), ["key", "tag", "sha"], "left"
-    ).withColumn("link", F.coalesce("other", "link")).drop("other")
-    return named, links.select("key", "tag", "link", "group_size", "keep_id")
-
-
 def _mark(out: DataFrame) -> DataFrame:
     """Adds kept: of rows repeated with the survivor's doc_id and text, the last stays."""
     own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     out = cut(out)
-    again = out.filter(own).groupBy("key", "tag", "link").agg(F.count("*").alias("m"), F.max("row").alias("last")).filter("m > 1")
+    again = out.filter(own).groupBy("key", "text_sha256").agg(F.count("*").alias("m"), F.max("row").alias("last")).filter("m > 1")
     if again.isEmpty():
         marked = out.withColumn("kept", own)
     else:
-        marked = out.join(again, ["key", "tag", "link"], "left").withColumn(
+        marked = out.join(again, ["key", "text_sha256"], "left").withColumn(
             "kept", own & (F.col("last").isNull() | (F.col("row") == F.col("last")))
         )
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "key")
