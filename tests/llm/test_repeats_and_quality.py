@@ -129,8 +129,8 @@ def test_co_training_on_held_out_documents(spark, docs_of):
     got = quality.classify(docs, table).collect()
     assert len(got) == 500 and sum(r.keep == good(r.doc_id) for r in got if r.doc_id % 2) / 250 > 0.97
     assert all(0 <= x <= 1 for r in got for x in (r.text_score, r.meta_score, r.score))
-    model = quality.fit(docs, table)
-    assert model.exchanged and sum(map(sum, model.exchanged)) > 0 and model.held_out > 0.95
+    model = quality.fit(quality.featured(docs), table)
+    assert all(sum(way) > 0 for way in zip(*model.exchanged, strict=True)) and model.held_out > 0.95
     kept = quality.keep_good(docs, table)
     assert kept.columns == docs.columns and 250 < kept.count() < 450
 
@@ -149,3 +149,40 @@ def test_features_of_odd_texts():
         x = quality.text_features(text)
         assert np.isfinite(x).all() and len(x) == len(quality.text_features("plain text."))
     assert np.isfinite(quality.metadata_features(None, None, None)).all()
+
+
+def test_sums_of_a_round_against_rows_one_by_one(spark, docs_of):
+    rows, labels, _ = made_documents(240, 5)
+    x = quality.featured(docs_of(rows, parts=5))
+    full = x.collect()
+    views = [np.array([np.frombuffer(bytes(r.text_x), "float32") for r in full], float), np.array([quality._from_slots(np.frombuffer(bytes(r.meta_x), np.uint16)[None])[0] for r in full])]
+    y = np.array(["|" not in rows[r.doc_id][1] for r in full], float)
+    models = [quality.Logistic(standard=k == 0).fit(v, y, np.ones(len(y))).calibrate(v, y) for k, v in enumerate(views)]
+    histories = [[quality.Teacher(models[0], 1.0, -9.0)], [quality.Teacher(models[1], 2.0, -2.0), quality.Teacher(models[1], 0.5, -0.5)]]
+    sums = quality.Pool(x).total(quality.pool_sums, models, histories)
+    bins = quality.Pool(x).total(quality.pool_bins, models, histories)
+    for k, model in enumerate(models):
+        n, loss, gradient, left = 0, 0.0, 0.0, 0
+        for i in range(len(y)):
+            odds = [m.log_odds(v[i : i + 1])[0] for m, v in zip(models, views, strict=True)]
+            left += not any(t.low < 0 and (odds[k] >= t.high or odds[k] <= t.low) for t in histories[k])
+            taught = [t for t in histories[1 - k] if odds[1 - k] >= t.high or odds[1 - k] <= t.low]
+            if taught:
+                target = 1 / (1 + np.exp(-odds[1 - k]))
+                own = np.append(np.clip((views[k][i] - model.mean) / model.scale, -8, 8), 1)
+                z = float(own @ model.weights)
+                n, loss, gradient = n + 1, loss + np.log1p(np.exp(z)) - target * z, gradient + own * (target - 1 / (1 + np.exp(-z)))
+        assert sums[k][0] == n > 0 and abs(sums[k][1] - loss) < 1e-6 and np.allclose(sums[k][2 : 2 + len(gradient)], gradient)
+        assert bins[k].sum() == left
+
+
+def test_a_view_hands_over_its_surest_rows():
+    bins = np.zeros(quality.BINS)
+    bins[[100, 400, 420, 700]] = [1, 50, 48, 1]
+    teacher = quality._teacher(quality.Logistic(), bins, 0.0, 0.97, 0.01)
+    odds = np.array([-15.0, 0.01, 1.02, 15.0])
+    assert teacher.picks(odds).tolist() == [True, False, False, True]
+    # where all rows look alike none is handed over
+    bins[:] = 0
+    bins[400] = 10
+    assert not quality._teacher(quality.Logistic(), bins, 0.0, 0.97, 0.01).picks(np.array([0.0, 0.04])).any()
