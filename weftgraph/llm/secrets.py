@@ -33,27 +33,75 @@ WORDS = (
 ).split()
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, has>> of all leftmost non-overlapping matches, in code points, end exclusive.
+#: Matches whose lengths are added up at once, and characters of a token scored at once.
+BLOCK, CHUNK = 64, 1024
 
-    Splitting by the pattern gives what stands between the matches; lengths of
-    both, added up, give the places.
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with columns that are computed once a row, also where lambdas use them for each element of an array.
+
+    Projections in a row are merged, which would put the expressions into the lambdas; a generator keeps them apart.
+    """
+    one = F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))
+    return df.select("*", one.alias("_one")).select(*(c for c in df.columns if c not in columns), *(F.col("_one")[k].alias(k) for k in columns))
+
+
+def matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column | None]]) -> DataFrame:
+    """`df` with a column array<struct<start, end, has>> for each of `patterns`: all leftmost non-overlapping matches.
+
+    Places are code points, ends exclusive. Splitting by a pattern gives what
+    stands between the matches; lengths of both, added up, give the places: by
+    blocks, so that time grows with the number of matches. A pattern may come
+    with a test that a text must pass to be searched.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,has:string>>)")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["has"])
+    found, gaps = {}, {}
+    for name, (pattern, test) in patterns.items():
+        there = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        between = F.transform(F.split(text, pattern), F.length)
+        if test is not None:
+            there, between = F.when(test, there).otherwise(F.array().cast("array<string>")), F.when(test, between).otherwise(F.array().cast("array<int>"))
+        found[f"{name}_has"], gaps[f"{name}_gap"] = there, between
+    df = settled(df, **found, **gaps).drop(text)
+    steps = {f"{k}_step": F.zip_with(F.slice(f"{k}_gap", 1, F.size(f"{k}_has")), f"{k}_has", lambda g, m: g + F.length(m)) for k in patterns}
+    df = settled(df, **steps)
+    total = lambda part: F.aggregate(part, F.lit(0), lambda x, y: x + y)
+
+    def before(k: str) -> Column:
+        """Code points before each block."""
+        blocks = F.sequence(F.lit(0), F.floor(F.size(f"{k}_step") / BLOCK).cast("int"))
+        sums = F.transform(blocks, lambda b: total(F.slice(f"{k}_step", b * BLOCK + 1, F.lit(BLOCK))))
+        empty = F.array(F.lit(0))
+        return F.aggregate(sums, empty, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    df = settled(df, **{f"{k}_before": before(k) for k in patterns})
+
+    def placed(k: str) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            own = total(F.slice(f"{k}_step", block * BLOCK + 1, i - block * BLOCK))
+            start = F.get(f"{k}_before", block) + own + F.get(f"{k}_gap", i)
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("has"))
+
+        return F.transform(f"{k}_has", one)
+
+    out = settled(df, **{k: placed(k) for k in patterns})
+    return out.drop(*(f"{k}_{x}" for k in patterns for x in ("has", "gap", "step", "before")))
+
+
+def below(values: str, x: Column) -> Column:
+    """How many of an ascending array column's values are below x, by bisection."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        less = F.get(values, middle) < x
+        done = acc["lo"] >= acc["hi"]
         return F.struct(
-            end.alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["has"].alias("has")))).alias("out"),
+            F.when(~done & less, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(done | less, acc["hi"]).otherwise(middle).alias("hi")
         )
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("has")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, state, add, lambda acc: acc["out"])).otherwise(empty)
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    return F.aggregate(turns, start, halve, lambda acc: acc["lo"])
 
 
 def labelled_samples(spark: SparkSession, rows: int = 4000) -> DataFrame:
@@ -88,10 +136,10 @@ def labelled_samples(spark: SparkSession, rows: int = 4000) -> DataFrame:
 
 
 def _ordinary_words(docs: DataFrame, sample_docs: int) -> DataFrame:
-    """Words of letters from the `sample_docs` rows of least key, as ordinary tokens."""
+    """Words of letters from the `sample_docs` rows of least key, as ordinary tokens; not parts of longer tokens."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     few = docs.select(text_of().alias("text"), key.alias("key")).orderBy("key", "text").limit(sample_docs)
-    return few.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("token"), F.lit(False).alias("secret"))
+    return few.select(F.explode(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,19}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("token"), F.lit(False).alias("secret"))
 
 
 def _pairs(token: Column) -> Column:
@@ -115,11 +163,18 @@ def log_ratios(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
 
 
 def scorer(ratios: list[float]):
-    """Column -> Column: the log likelihood ratio of a token."""
+    """Column -> Column: the log likelihood ratio of a token, of ASCII characters."""
     literal = F.expr(f"array({','.join(f'{x!r}D' for x in ratios)})")
-    return lambda token: F.aggregate(
-        _pairs(token), F.lit(0.0), lambda acc, pair: acc + F.coalesce(F.get(literal, pair), F.lit(0.0))
-    )
+
+    def score(token: Column) -> Column:
+        raw = token.cast("binary")  # whose parts are cut out without counting characters
+        chunks = F.sequence(F.lit(0), F.floor(F.greatest(F.length(token) - 2, F.lit(0)) / CHUNK).cast("int"))
+        own = lambda part: F.aggregate(
+            _pairs(part), F.lit(0.0), lambda acc, pair: acc + F.coalesce(F.get(literal, pair), F.lit(0.0))
+        )
+        return F.aggregate(chunks, F.lit(0.0), lambda acc, c: acc + own(F.substr(raw, c * CHUNK + 1, F.lit(CHUNK + 1)).cast("string")))
+
+    return score
 
 
 def find_secrets(docs: DataFrame, sample_docs: int = 200, least: float = 14.0, least_mean: float = 0.6) -> DataFrame:
@@ -130,39 +185,47 @@ def find_secrets(docs: DataFrame, sample_docs: int = 200, least: float = 14.0, l
     `least_mean` a character pair are added as kind `markov`. The models are
     counted from `labelled_samples` and the words of `sample_docs` documents.
     Null texts are empty and have no spans; repeated rows are each scanned;
-    only doc_id and text are read.
+    only doc_id and text are read. Time grows with a text's length, however many
+    matches it holds or how long they are.
     """
     spark = docs.sparkSession
     score = scorer(log_ratios(labelled_samples(spark).unionByName(_ordinary_words(docs, sample_docs))))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,has:string>>)")
-    scan = docs.select("doc_id", text_of().alias("text"))
+    text = F.col("_text")
+    scan = docs.select("doc_id", text_of().alias("_text"))
     # the cheap test for a keyword spares most rows the search
-    assign = F.when(F.col("text").rlike("(?i)pass|secret|token|api_?key"), matches(F.col("text"), ASSIGN)).otherwise(empty)
-    access = F.when(F.contains("text", F.lit("AKIA")), matches(F.col("text"), ACCESS)).otherwise(empty)
-    scan = scan.select(
-        "doc_id",
-        F.filter(assign, lambda m: F.length(F.regexp_extract(m["has"], ASSIGN, 2)) >= ASSIGN_LEAST).alias("assign"),
-        F.filter(access, lambda m: F.length(m["has"]) >= ACCESS_LEAST).alias("access"),
-        matches(F.col("text"), HEX).alias("hex"),
-        matches(F.col("text"), TOKEN).alias("token"),
+    scan = matches(scan, "_text", {
+        "assign": (ASSIGN, text.rlike("(?i)pass|secret|token|api_?key")), "access": (ACCESS, F.contains(text, F.lit("AKIA"))),
+        "hex": (HEX, None), "token": (TOKEN, None),
+    })
+    kinds = ("assign", "access", "hex")
+    scan = settled(
+        scan,
+        assign=F.filter("assign", lambda m: F.length(F.regexp_extract(m["has"], ASSIGN, 2)) >= ASSIGN_LEAST),
+        access=F.filter("access", lambda m: F.length(m["has"]) >= ACCESS_LEAST),
     )
-    named = lambda kind, order: F.transform(kind, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("kind"), m["end"].alias("end")))
-    base = F.array_sort(F.concat(named("assign", 0), named("access", 1), named("hex", 2)))
-    touches = lambda m: F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    # spans of one kind don't overlap, so both their starts and their ends ascend
+    scan = settled(scan, **{f"{k}_{x}": F.col(f"{k}.{x}") for k in kinds for x in ("start", "end")})
+
+    def touches(m: Column) -> Column:
+        out = F.lit(False)
+        for k in kinds:
+            last = below(f"{k}_start", m["end"]) - 1
+            out = out | ((F.size(k) > 0) & (last >= 0) & (F.get(f"{k}_end", last) > m["start"]))
+        return out
+
     likely = lambda m: (
         m["has"].rlike("[0-9]") & m["has"].rlike("[A-Za-z]") & ~touches(m)
         & (score(m["has"]) >= F.greatest(F.lit(least), F.lit(least_mean) * (F.length(m["has"]) - 1)))
     )
-    scan = scan.withColumn("base", base)
-    added = F.transform(F.filter("token", likely), lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))
-    scan = scan.withColumn("markov", added)
-    names = F.array(*(F.lit(k) for k in ("assign", "access", "hex", "markov")))
+    named = lambda kind, order: F.transform(kind, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("kind"), m["end"].alias("end")))
+    scan = settled(scan, base=F.array_sort(F.concat(*(named(k, i) for i, k in enumerate(kinds)))), markov=named(F.filter("token", likely), 3))
+    names = F.array(*(F.lit(k) for k in (*kinds, "markov")))
     joined = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ","
     )
     return scan.select(
         "doc_id",
-        *(F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "markov")),
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in (*kinds, "markov")),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.array_sort(F.concat("base", "markov"))).alias("spans"),
     )
