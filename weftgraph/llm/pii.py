@@ -1,15 +1,17 @@
 """Personal data: fixed base patterns, and a semi-Markov conditional random field that adds spans.
 
 The field labels whole segments. A candidate is a run of at most MAX_TOKENS
-tokens that holds a digit or an @, begins and ends with a sign that a value can
-begin and end with, and scores by features of the span as a whole: its groups
-of digits, separators, checksum, octets, the words around it. Dynamic
-programming over places chooses boundaries and types jointly; what lies outside
-segments goes token by token with score 0.
-
-As every candidate holds a digit or an @, the best labelling of a text falls
-apart into zones around those; only zones are tokenised, and the rest of a text
-costs one search. The field is trained on generated sentences by gradient
+tokens that begins and ends with a sign that a value can begin and end with and
+holds one @, or an `at` and a `dot` behind it, or 7 to 19 digits in at most 5
+groups, or 4 groups of 3 digits at most. It scores by features of the span as a
+whole: its groups of digits, separators, checksum, octets, the words around it.
+Dynamic programming over places chooses boundaries and types jointly; what lies
+outside segments goes token by token with score 0. A place begins MAX_TOKENS
+candidates at most, so time grows with a text's length.
+
+As every candidate holds a digit, an @ or a spelled-out address, the best
+labelling of a text falls apart into zones around those; only zones are
+tokenised, and the rest of a text costs one search. The field is trained on generated sentences by gradient
 steps on the likelihood, which sums over all segmentations.
 """
 
@@ -19,9 +21,10 @@ import math
 import random
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from heapq import merge
 from itertools import accumulate
 
 import numpy as np
@@ -42,6 +45,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
+#: `at` and `dot` of an address in words, bare or in brackets.
+_SPELLED = re.compile(r"(?<![^\W_])at[\])]?\x20?(?:[A-Za-z0-9-]+[\x20\[\](]{1,3}){1,2}dot(?![^\W_])", re.I)
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -96,7 +101,7 @@ CUES = {
     "number": 2, "phone": 3, "tel": 3, "call": 3, "mobile": 3, "fax": 3,
 }
 FEATURES = (
-    ["bias", "has_at", "word_at_dot", "plus", "paren", "luhn16", "octets", "letters", "left_digit", "right_digit", "left_sign", "money", "many"]
+    ["bias", "has_at", "word_at_dot", "spelled", "loose_words", "dot_beside", "host_dot", "more_left", "more_right", "plus", "paren", "luhn16", "octets", "letters", "left_digit", "right_digit", "left_sign", "money", "many"]
     + [f"cue_{k}" for k in KINDS]
     + [f"digits_{k}" for k in ("0", "1-6", "7-9", "10", "11-12", "13-15", "16-19", "20+")]
     + [f"groups_{k}" for k in ("1", "2", "3", "4", "5+")]
@@ -107,11 +112,18 @@ _AT = {name: i for i, name in enumerate(FEATURES)}
 _SHAPES = {"4-4-4-4", "3-3-4", "3-4", "1-3-3-4"}
 
 
+def hinted(text: str) -> bool:
+    return bool(_HINT.search(text) or ("dot" in text.lower() and _SPELLED.search(text)))
+
+
 def zones(text: str) -> Iterator[tuple[int, int]]:
+    hints: Iterable = _HINT.finditer(text)
+    if "dot" in text.lower():
+        hints = merge(hints, _SPELLED.finditer(text), key=lambda m: m.start())
     start = end = None
-    for m in _HINT.finditer(text):
+    for m in hints:
         if end is not None and m.start() <= end:
-            end = m.end() + MARGIN
+            end = max(end, m.end() + MARGIN)
             continue
         if end is not None:
             yield max(0, start), min(len(text), end)
@@ -122,17 +134,39 @@ def zones(text: str) -> Iterator[tuple[int, int]]:
 
 def candidates(tokens: list[str]) -> list[tuple[int, int]]:
     """Runs of tokens that may be a value."""
+    # what a token is: 0 ends every run, 1 digits, 2 an @, 3 at, 4 dot, 5 another word, 6 else
+    kinds = []
+    for t in tokens:
+        if "\n" in t or len(t) > 64 or (t.isspace() and len(t) > 1):
+            kinds.append(0)
+        elif t[0].isdigit():
+            kinds.append(1)
+        elif t == "@":
+            kinds.append(2)
+        else:
+            low = t.lower()
+            kinds.append(3 if low == "at" else 4 if low == "dot" else 5 if t[0].isalnum() else 6)
     out = []
-    for i, first in enumerate(tokens):
-        if not (first[0].isalnum() or first in "+("):
+    for i, first in enumerate(kinds):
+        if first in (0, 2) or (first == 6 and tokens[i] not in "+("):
             continue
-        hint = False
+        digits = groups = widest = signs = at = dot = 0
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            token = tokens[j]
-            if "\n" in token or len(token) > 64 or (token.isspace() and len(token) > 1):
+            kind = kinds[j]
+            if kind == 1:
+                size = len(tokens[j])
+                digits, groups, widest = digits + size, groups + 1, max(widest, size)
+            elif kind == 2:
+                signs += 1
+                if signs > 1:
+                    break
+            elif kind == 3:
+                at = 1
+            elif kind == 4:
+                dot = at
+            elif kind == 0:
                 break
-            hint = hint or token[0].isdigit() or token == "@"
-            if hint and token[0].isalnum():
+            if kind != 2 and kind != 6 and (signs or dot or (7 <= digits <= 19 and groups <= 5) or (groups == 4 and widest <= 3)):
                 out.append((i, j + 1))
     return out
 
@@ -148,8 +182,21 @@ def span_features(tokens: list[str], i: int, j: int) -> list[int]:
     after = tokens[j] if j < len(tokens) else " "
     cue = next((CUES[w.lower()] for w in reversed(tokens[max(0, i - 5) : i]) if w.lower() in CUES), None)
     has = ["bias"]
-    has += ["has_at"] * ("@" in seps) + ["word_at_dot"] * ("at" in words and "dot" in words) + ["plus"] * (own[0] == "+")
+    has += ["has_at"] * ("@" in seps) + ["plus"] * (own[0] == "+")
     has += ["paren"] * ("(" in seps and ")" in seps) + ["letters"] * bool(words)
+    # what goes on beyond the span in signs that such values are made of
+    beyond = tokens[j + 1][0].isalnum() if j + 1 < len(tokens) else False
+    has += ["more_left"] * (before[-1].isalnum() or before in "._%-@") + ["more_right"] * (after[0].isalnum() or (after in ".-@_" and beyond))
+    has += ["host_dot"] * ("@" in own and "." in own[own.index("@") :])
+    if "at" in words and "dot" in words:
+        terms = "".join(t.lower() if t[0].isalnum() else " " for t in own).split()
+        # one word, at, words parted by dots: an address as it is spelled out
+        k = terms.index("at") if "at" in terms else len(terms)
+        name, host = terms[:k], terms[k + 1 :]
+        parted = lambda part: len(part) % 2 == 1 and all((w == "dot") == (x % 2 == 1) for x, w in enumerate(part))
+        has += ["word_at_dot"] + ["spelled"] * (parted(name) and len(host) > 2 and parted(host)) + ["loose_words"] * (not parted(name) or not parted(host))
+        near = [t.lower() for t in (*tokens[max(0, i - 2) : i], *tokens[j : j + 2])]
+        has += ["dot_beside"] * ("dot" in near)
     if 16 <= n <= 19 and not words and luhn("".join(runs)):
         has.append("luhn16")
     if len(runs) == 4 and len(own) == 7 and seps == {"."} and all(len(t) <= 3 and int(t) <= 255 for t in runs):
@@ -202,16 +249,22 @@ def _digits(rng: random.Random, n: int) -> str:
     return "".join(rng.choice("0123456789") for _ in range(n))
 
 
+def _word(rng: random.Random) -> str:
+    return "".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randint(3, 7)))
+
+
 def _card(rng: random.Random) -> str:
     body = "4" + _digits(rng, 14)
     return body + next(d for d in "0123456789" if luhn(body + d))
 
 
 def _value(rng: random.Random, kind: int) -> str:
-    word = lambda: "".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randint(3, 7)))
+    word = lambda: _word(rng)
     if kind == 0:
         name, host, top = f"{word()}{rng.choice(['.', '_', ''])}{word()}{rng.choice(['', _digits(rng, 2)])}", word(), rng.choice(["com", "org", "net"])
-        return rng.choice([f"{name}@{host}.{top}"] * 3 + [f"{word()}{_digits(rng, 2)} at {host} dot {top}"])
+        left, right = rng.choice([("", ""), ("", ""), ("[", "]"), ("(", ")")])
+        first = f"{word()}{rng.choice(['', '', f' {left}dot{right} {word()}', _digits(rng, 2)])}"
+        return rng.choice([f"{name}@{host}.{top}"] * 2 + [f"{first} {left}at{right} {host} {left}dot{right} {top}"])
     if kind == 1:
         return ".".join(str(rng.randint(0, 255)) for _ in range(4))
     if kind == 2:
@@ -228,6 +281,7 @@ def _distractor(rng: random.Random) -> str:
         f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{_digits(rng, 2)}:{_digits(rng, 2)}", f"{_digits(rng, 1)}.{_digits(rng, 1)}.{_digits(rng, 1)}",
         f"{rng.randint(1900, 2030)}", f"v{_digits(rng, 1)}.{_digits(rng, 2)}", f"{_digits(rng, 16)}", f"{_digits(rng, 20)}", f"{_digits(rng, 3)} {_digits(rng, 4)}",
         "".join(rng.choice("0123456789abcdef") for _ in range(32)), f"{_digits(rng, 2)}, {_digits(rng, 2)}, {_digits(rng, 3)}", f"{_digits(rng, 4)} {_digits(rng, 4)}", "@", f"page {_digits(rng, 3)}",
+        f"at {_word(rng)} the dot", f"{_word(rng)} at {_word(rng)}, dot {_word(rng)}", f"look at {_word(rng)} {_word(rng)} dot {_word(rng)}",
     ])
 
 
@@ -259,7 +313,7 @@ def _logsumexp(values: list[float]) -> float:
 
 
 @lru_cache(maxsize=1)
-def trained(sentences: int = 300, epochs: int = 30, seed: int = 7) -> np.ndarray:
+def trained(sentences: int = 600, epochs: int = 60, seed: int = 7) -> np.ndarray:
     """FEATURES x KINDS weights that maximise the likelihood of generated segmentations, less an L2 term.
 
     Each epoch runs the forward and backward sums over all segmentations of
@@ -334,7 +388,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def find_pii(docs: DataFrame, sentences: int = 300, epochs: int = 30) -> DataFrame:
+def find_pii(docs: DataFrame, sentences: int = 600, epochs: int = 60) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for each row of `docs`.
 
     Base spans (leftmost non-overlapping of each pattern, failing ones dropped)
@@ -350,7 +404,7 @@ def find_pii(docs: DataFrame, sentences: int = 300, epochs: int = 30) -> DataFra
             for text in pdf["text"]:
                 text = text or ""
                 base = base_spans(text)
-                more = added_spans(text, base, weights) if _HINT.search(text) else []
+                more = added_spans(text, base, weights) if hinted(text) else []
                 counts = [sum(s[0] == k for s in base) for k in range(4)]
                 rows.append((*counts, sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)), len(more)))
             names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
