@@ -91,7 +91,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 # --- the field -----------------------------------------------------------------------------------
-MAX_TOKENS = 16
+MAX_TOKENS = 20
 #: Characters on either side of a digit or @ that belong to its zone.
 MARGIN = 48
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
@@ -100,8 +100,10 @@ CUES = {
     "mail": 0, "email": 0, "e": 0, "contact": 0, "ip": 1, "host": 1, "address": 1, "card": 2, "visa": 2, "account": 2,
     "number": 2, "phone": 3, "tel": 3, "call": 3, "mobile": 3, "fax": 3,
 }
+#: Last parts of addresses that are told from words in a sentence.
+TOP = "com org net edu gov info biz io de fr es it uk eu us".split()
 FEATURES = (
-    ["bias", "has_at", "word_at_dot", "spelled", "loose_words", "dot_beside", "host_dot", "more_left", "more_right", "plus", "paren", "luhn16", "octets", "letters", "left_digit", "right_digit", "left_sign", "money", "many"]
+    ["bias", "has_at", "word_at_dot", "spelled", "top_domain", "bracketed", "loose_words", "dot_beside", "host_dot", "more_left", "more_right", "plus", "paren", "luhn16", "octets", "letters", "left_digit", "right_digit", "left_sign", "money", "many"]
     + [f"cue_{k}" for k in KINDS]
     + [f"digits_{k}" for k in ("0", "1-6", "7-9", "10", "11-12", "13-15", "16-19", "20+")]
     + [f"groups_{k}" for k in ("1", "2", "3", "4", "5+")]
@@ -194,7 +196,8 @@ def span_features(tokens: list[str], i: int, j: int) -> list[int]:
         k = terms.index("at") if "at" in terms else len(terms)
         name, host = terms[:k], terms[k + 1 :]
         parted = lambda part: len(part) % 2 == 1 and all((w == "dot") == (x % 2 == 1) for x, w in enumerate(part))
-        has += ["word_at_dot"] + ["spelled"] * (parted(name) and len(host) > 2 and parted(host)) + ["loose_words"] * (not parted(name) or not parted(host))
+        spelled = parted(name) and len(host) > 2 and parted(host)
+        has += ["word_at_dot"] + ["spelled"] * spelled + ["top_domain"] * (spelled and terms[-1] in TOP) + ["bracketed"] * (spelled and not seps.isdisjoint("[(")) + ["loose_words"] * (not parted(name) or not parted(host))
         near = [t.lower() for t in (*tokens[max(0, i - 2) : i], *tokens[j : j + 2])]
         has += ["dot_beside"] * ("dot" in near)
     if 16 <= n <= 19 and not words and luhn("".join(runs)):
@@ -212,7 +215,7 @@ def span_features(tokens: list[str], i: int, j: int) -> list[int]:
             break
     if runs:
         has.append(f"groups_{len(runs) if len(runs) < 5 else '5+'}")
-    for s in seps:
+    for s in seps - set("[]()") if "bracketed" in has else seps:
         has.append({" ": "sep_space", "-": "sep_dash", ".": "sep_dot", "/": "sep_slash"}.get(s, "sep_other"))
     if shape in _SHAPES:
         has.append(f"shape_{shape}")
@@ -261,7 +264,7 @@ def _card(rng: random.Random) -> str:
 def _value(rng: random.Random, kind: int) -> str:
     word = lambda: _word(rng)
     if kind == 0:
-        name, host, top = f"{word()}{rng.choice(['.', '_', ''])}{word()}{rng.choice(['', _digits(rng, 2)])}", word(), rng.choice(["com", "org", "net"])
+        name, host, top = f"{word()}{rng.choice(['.', '_', ''])}{word()}{rng.choice(['', _digits(rng, 2)])}", word(), rng.choice(TOP)
         left, right = rng.choice([("", ""), ("", ""), ("[", "]"), ("(", ")")])
         first = f"{word()}{rng.choice(['', '', f' {left}dot{right} {word()}', _digits(rng, 2)])}"
         return rng.choice([f"{name}@{host}.{top}"] * 2 + [f"{first} {left}at{right} {host} {left}dot{right} {top}"])
@@ -281,7 +284,7 @@ def _distractor(rng: random.Random) -> str:
         f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{_digits(rng, 2)}:{_digits(rng, 2)}", f"{_digits(rng, 1)}.{_digits(rng, 1)}.{_digits(rng, 1)}",
         f"{rng.randint(1900, 2030)}", f"v{_digits(rng, 1)}.{_digits(rng, 2)}", f"{_digits(rng, 16)}", f"{_digits(rng, 20)}", f"{_digits(rng, 3)} {_digits(rng, 4)}",
         "".join(rng.choice("0123456789abcdef") for _ in range(32)), f"{_digits(rng, 2)}, {_digits(rng, 2)}, {_digits(rng, 3)}", f"{_digits(rng, 4)} {_digits(rng, 4)}", "@", f"page {_digits(rng, 3)}",
-        f"at {_word(rng)} the dot", f"{_word(rng)} at {_word(rng)}, dot {_word(rng)}", f"look at {_word(rng)} {_word(rng)} dot {_word(rng)}",
+        f"at {_word(rng)} the dot", f"{_word(rng)} at {_word(rng)}, dot {_word(rng)}", f"{_word(rng)} at {_word(rng)} dot {_word(rng)}", f"look at {_word(rng)} {_word(rng)} dot {_word(rng)}",
     ])
 
 
