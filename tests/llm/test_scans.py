@@ -282,17 +282,30 @@ def judged(url, rules, default="allow"):
     return host, path, best[2] if best else None, best[3] if best else default
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 3, 100])
-def test_url_rules(spark, chunk):
-    rng = random.Random(chunk)
+@pytest.mark.parametrize("ranges", [1, 2, 7, 60, None])
+def test_url_rules(spark, ranges):
+    rng = random.Random(ranges)
     labels = ["com", "Example", "net", "a", "b", "org", ""]
     rules = list(url_filters.RULES) + [("allow", "a.com", ""), ("block", "b.a.com", "/"), ("allow", "com", "/en/7/x"), ("block", "b.a.com", "/en/")]
     urls = [None, "", "no scheme", "http://", "x://COM/en/?q", "http://a.com://b/en/", "http://example.com?x/en/7", "http://m.example.com/en/7#t", "http://xcom/en/"]
     urls += ["http://" + ".".join(rng.choice(labels) for _ in range(rng.randrange(4))) + rng.choice(["", "/en/", "/en/7", "/de/8", "/en/7/x", "?/en/", "/"]) for _ in range(300)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
-    got = url_filters.url_filter(pages, rules, chunk_rules=chunk, piece_urls=40).collect()
+    got = url_filters.url_filter(pages, rules, ranges=ranges).collect()
     assert len(got) == len(urls)
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == judged(urls[r.page_id], rules), urls[r.page_id]
     none = spark.createDataFrame([], "page_id long, url string")
-    assert url_filters.url_filter(none, rules, chunk_rules=chunk).count() == 0
+    assert url_filters.url_filter(none, rules, ranges=ranges).count() == 0
+
+
+def test_url_rules_on_odd_rows(spark):
+    urls = [(None, "http://a.com/en/1"), (None, None), (1, "http://A.com/en/" + "x" * 100_000), (1, "http://a.com/en/1"), (2, "://"), (3, "http://com/en/")]
+    urls += [(4, "http://hot.example.com/en/7")] * 60  # one url that holds most rows
+    pages = spark.createDataFrame([(*u, "k", "p", "r") for u in urls], "page_id long, url string, key string, path string, rule string")
+    got = url_filters.url_filter(pages, ranges=5)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+    own = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()), key=str)
+    assert own == sorted(((i, *judged(u, url_filters.RULES)) for i, u in urls), key=str)
+    table = spark.createDataFrame([("block", "com", "/en/"), ("block", "com", "/en/")], "verdict string, host string, path string")
+    assert url_filters.url_filter(pages, table).filter("verdict = 'block'").count() == 64
+    assert url_filters.url_filter(pages, []).filter("rule is null and verdict = 'allow'").count() == len(urls)
