@@ -309,3 +309,17 @@ def test_url_rules_on_odd_rows(spark):
     table = spark.createDataFrame([("block", "com", "/en/"), ("block", "com", "/en/")], "verdict string, host string, path string")
     assert url_filters.url_filter(pages, table).filter("verdict = 'block'").count() == 64
     assert url_filters.url_filter(pages, []).filter("rule is null and verdict = 'allow'").count() == len(urls)
+
+
+def test_contamination_with_a_large_or_a_full_filter(spark, docs_of, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(3))
+    items = [(i, " ".join(word() for _ in range(200))) for i in range(60)]
+    rows = [(i, " ".join(word() for _ in range(30)) + (" " + " ".join(items[i][1].split()[40:60]) if i % 3 == 0 else "")) for i in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = contaminated(rows, items, 8)
+    assert sum(r[5] for r in want) >= 17
+    for bits in (25, 6):
+        monkeypatch.setattr(decontaminate, "LEAST_BITS", min(bits, 18))
+        monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+        assert sorted(tuple(r) for r in decontaminate.contamination(docs_of(rows), bench, n=8).collect()) == want

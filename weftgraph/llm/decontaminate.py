@@ -1,12 +1,13 @@
 """Benchmark decontamination with a broadcast set of test n-grams. DataFrame functions only.
 
 A benchmark item's windows are its runs of `n` words. The hashes of their first
-words and of the whole set bits of two filters of fixed size that are shipped
-as literals; the scan of a document hashes the first words at each place and,
-where they pass, the whole window. Only windows that pass,
-a fraction of a per cent besides true ones, leave the row, and are verified by
-a join on the words themselves. The windows are broadcast when they are few and
-joined by a shuffle otherwise.
+words and of the whole set bits of two filters, sized by the number of windows
+and shipped as literals of a few MB at most; the scan of a document hashes the
+first words at each place and, where they pass, the whole window. Only windows
+that pass, a fraction of a per cent besides true ones, leave the row, and are
+verified by a join on the words themselves. The windows are broadcast when they
+are few and joined by a shuffle otherwise. A benchmark of millions of windows
+fills the filters; more places then leave the rows, and results stay the same.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .common import ascii_lower, cut, if_small, table, text_of, unused
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: As WORD, before lower-casing.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bits of the filter, and how many of them a window sets.
-FILTER_BITS, PROBES = 1 << 18, 3
+#: Bits of a filter, as powers of two: at least, and at most (4 MB); bits for each window, and how many of them it sets.
+LEAST_BITS, MOST_BITS, WINDOW_BITS, PROBES = 18, 25, 48, 3
 #: Words at a window's start that are looked up before the whole.
 HEAD = 3
 
@@ -39,28 +40,29 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
     return windows.groupBy("window", "length").agg(F.collect_set("item").alias("items"))
 
 
-def _probe(hashed: Column, k: int) -> Column:
-    """The k-th of a window's bits, as its number."""
-    return F.shiftrightunsigned(hashed, 20 * k).bitwiseAND(F.lit(FILTER_BITS - 1))
+def _probe(hashed: Column, k: int, bits: int) -> Column:
+    """The k-th of a window's places in a filter of 2^bits bits."""
+    return F.shiftrightunsigned(hashed, 19 * k).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _filter_of(hashes: DataFrame, probes: int) -> Column:
-    """The filter of a column h of hashes, as a literal array of 64-bit words."""
-    bits = hashes.select(F.explode(F.array(*(_probe(F.col("h"), k) for k in range(probes)))).alias("bit"))
-    rows = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(
+def _filter_of(hashes: DataFrame, probes: int) -> tuple[Column, int]:
+    """The filter of a column h of hashes, as a literal array of 64-bit words, and its bits as a power of two."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (WINDOW_BITS * hashes.count()).bit_length()))
+    places = hashes.select(F.explode(F.array(*(_probe(F.col("h"), k, bits) for k in range(probes)))).alias("bit"))
+    rows = places.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("set")
     )
-    out = [0] * (FILTER_BITS >> 6)
-    for word, bits_set in rows.collect():
+    out = [0] * (1 << bits >> 6)
+    for word, bits_set in rows.collect():  # as many words as the filter has
         out[word] = bits_set
-    return F.expr(f"array({','.join(f'{x}L' for x in out)})")
+    return F.from_json(F.lit(str(out)), "array<long>"), bits  # folded to a literal when the plan is made
 
 
-def _passes(hashed: Column, literal: Column, probes: int) -> Column:
+def _passes(hashed: Column, literal: tuple[Column, int], probes: int) -> Column:
     out = F.lit(True)
     for k in range(probes):
-        bit = _probe(hashed, k)
-        word = F.get(literal, F.shiftright(bit, 6).cast("int"))
+        bit = _probe(hashed, k, literal[1])
+        word = F.get(literal[0], F.shiftright(bit, 6).cast("int"))
         out = out & (F.call_function("shiftrightunsigned", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
     return out
 
@@ -95,7 +97,9 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, keep: list[str]) ->
 
     scan = docs.select(*keep, F.monotonically_increasing_id().alias("row"), words_of().alias("words"))
     hits = F.concat(*map(found, lengths)) if lengths else F.expr("cast(array() as array<struct<at:int,long:int,has:string>>)")
-    scan = scan.select(*keep, "row", F.size("words").cast("long").alias("n_words"), F.explode_outer(hits).alias("hit"))
+    # rows are told apart by their number, which must stay the same when a lost executor's work is done again
+    scan = cut(scan.select(*keep, "row", F.size("words").cast("long").alias("n_words"), hits.alias("hits")))
+    scan = scan.select(*keep, "row", "n_words", F.explode_outer("hits").alias("hit"))
     scan = scan.select(*keep, "row", "n_words", "hit.at", "hit.long", "hit.has")
     return scan.join(if_small(windows.select("window", "items")), F.col("has") == F.col("window"), "left")
 
