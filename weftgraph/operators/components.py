@@ -90,3 +90,52 @@ def shortest_paths(pair_rows: DataFrame, wanted: DataFrame, directed: bool = Fal
     schema = f"graph_id {kinds['graph_id']}, src {kinds['src']}, dst {kinds['dst']}, path array<{kinds['src']}>, found boolean"
     asked = wanted.select("graph_id", "src", "dst").distinct().toDF("graph_id", "src", "dst")  # new attributes
     return pair_rows.select("graph_id", "src", "dst").groupBy("graph_id").cogroup(asked.groupBy("graph_id")).applyInPandas(search, schema)
+
+
+def path_nodes(pair_rows: DataFrame, wanted: DataFrame, directed: bool = False) -> DataFrame:
+    """(graph_id, src, dst, pos, node): a shortest path for each (graph_id, src, dst) row that has one, from pos 0 on.
+
+    Of equally short paths the one whose node before each is least, from the end
+    on. All graphs are walked together: breadth first from the sources, then back
+    from the ends, a round for each hop.
+    """
+    asked = cut(wanted.select("graph_id", "src", "dst").distinct())
+    hops = cut(hop_counts(pair_rows, asked.select("graph_id", F.col("src").alias("source")), directed=directed))
+    ahead = pair_rows.select("graph_id", F.col("src").alias("prev"), F.col("dst").alias("node"))
+    near = ahead if directed else ahead.unionAll(pair_rows.select("graph_id", F.col("dst").alias("prev"), F.col("src").alias("node"))).distinct()
+    ends = hops.select("graph_id", F.col("source").alias("src"), F.col("node").alias("dst"), F.col("hops").alias("pos"))
+    at = cut(asked.join(ends, ["graph_id", "src", "dst"]).withColumn("node", F.col("dst")))
+    out = at
+    while not (left := at.filter("pos > 0")).isEmpty():
+        step = left.join(near, ["graph_id", "node"]).withColumn("pos", F.col("pos") - 1)
+        closer = hops.select("graph_id", F.col("source").alias("src"), F.col("node").alias("prev"), F.col("hops").alias("pos"))
+        back = step.join(closer, ["graph_id", "src", "prev", "pos"]).groupBy("graph_id", "src", "dst", "pos").agg(F.min("prev").alias("node"))
+        at = cut(back.select(*at.columns))
+        out = out.unionByName(at)
+    return out.select("graph_id", "src", "dst", "pos", "node")
+
+
+def path_edges(nodes: DataFrame, edge_for: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, pos, from_node, to_node, edge_id, is_broken): the hops of `path_nodes` with the edge to show for each.
+
+    edge_for: (graph_id, src, dst, edge_id) with src < dst, see projection.best_edge; a hop without one is broken.
+    """
+    start = nodes.select("graph_id", "src", "dst", (F.col("pos") + 1).alias("pos"), F.col("node").alias("from_node"))
+    hops = start.join(nodes.withColumnRenamed("node", "to_node"), ["graph_id", "src", "dst", "pos"])
+    shown = edge_for.select("graph_id", F.col("src").alias("low"), F.col("dst").alias("high"), "edge_id")
+    hops = hops.withColumn("low", F.least("from_node", "to_node")).withColumn("high", F.greatest("from_node", "to_node"))
+    hops = hops.join(shown, ["graph_id", "low", "high"], "left").drop("low", "high")
+    return hops.select("graph_id", "src", "dst", "pos", "from_node", "to_node", "edge_id", F.col("edge_id").isNull().alias("is_broken"))
+
+
+def best_ends(pair_rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(graph_id, set_id, src, dst, hops): of all pairs of different nodes of two sets, the nearest, then the least.
+
+    sets: (graph_id, set_id, side, node), side `from` or `to`. Sets without a path give no row.
+    """
+    start = sets.filter("side = 'from'").select("graph_id", "set_id", F.col("node").alias("src")).distinct()
+    end = sets.filter("side = 'to'").select("graph_id", "set_id", F.col("node").alias("dst")).distinct()
+    hops = hop_counts(pair_rows, start.select("graph_id", F.col("src").alias("source")))
+    near = start.join(hops.select("graph_id", F.col("source").alias("src"), F.col("node").alias("dst"), "hops"), ["graph_id", "src"])
+    best = near.join(end, ["graph_id", "set_id", "dst"]).filter("src <> dst").groupBy("graph_id", "set_id").agg(F.min(F.struct("hops", "src", "dst")).alias("b"))
+    return best.select("graph_id", "set_id", "b.src", "b.dst", "b.hops")

@@ -115,7 +115,7 @@ def scored_answers(answers: DataFrame) -> DataFrame:
 
 
 def by_condition(scored: DataFrame, *more: str) -> DataFrame:
-    """Mean em and f1 in per cent, and mean facts, by condition and further columns."""
+    """Mean em and f1 in per cent, and mean facts, by condition and further columns (answerable, failure_mode)."""
     return scored.groupBy("condition", *more).agg(
         F.count("*").alias("n"), F.bround(100 * F.avg("em"), 2).alias("em"), F.bround(100 * F.avg("f1"), 2).alias("f1"), F.bround(F.avg("n_facts"), 4).alias("avg_facts")
     )

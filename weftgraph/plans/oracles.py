@@ -72,25 +72,25 @@ subset as (
 res as (select * from exact union all select * from subset)"""
 
 ANSWERS = r"""
-t as (
-  select conv_id, turn, array_to_string((string_split(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), ' '))[1:12], ' ') as short
-  from conversations),
-u as (select *, lead(short) over (partition by conv_id order by turn, short) as nxt from t),
+u as (select conv_id, turn, text as short, lead(text) over (partition by conv_id order by turn, text) as nxt from conversations),
 p as (
   select conv_id, turn, ['closed_book', 'text_rag', 'graph', 'graph_repair'][conv_id % 4 + 1] as condition, short as gold,
-         case when turn % 3 = 0 then 'The ' || upper(short) || '!' else nxt end as pred,
+         case when turn % 3 = 0 then 'The ' || upper(replace(short, 'ß', 'ss')) || '!' else nxt end as pred,
          cast(case when conv_id % 4 = 0 then 0 else 4 + turn % 5 end as integer) as n_facts, turn % 2 = 0 as answerable
   from u where nxt is not null),
 tok as (
   select *, list_filter(regexp_split_to_array(regexp_replace(lower(gold), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda x: x not in ('', 'a', 'an', 'the')) as gt,
          list_filter(regexp_split_to_array(regexp_replace(lower(pred), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda x: x not in ('', 'a', 'an', 'the')) as pt
   from p),
+rn as (select *, row_number() over () as rn from tok),
+gc as (select rn, w, count(*) as c from (select rn, unnest(gt) as w from rn) group by all),
+pc as (select rn, w, count(*) as c from (select rn, unnest(pt) as w from rn) group by all),
+sh as (select rn, sum(least(gc.c, pc.c)) as shared from gc join pc using (rn, w) group by rn),
 sc as (
-  select *, case when gt = pt then 1.0::double else 0.0::double end as em,
+  select * exclude (rn), case when gt = pt then 1.0::double else 0.0::double end as em,
          case when len(gt) = 0 or len(pt) = 0 then case when len(gt) = len(pt) then 1.0::double else 0.0::double end
-              else 2.0::double * list_sum(list_transform(list_distinct(pt), lambda w: least(len(list_filter(pt, lambda x: x = w)), len(list_filter(gt, lambda x: x = w)))))
-                   / (len(pt) + len(gt)) end as f1
-  from tok)"""
+              else 2.0::double * coalesce(shared, 0) / (len(pt) + len(gt)) end as f1
+  from rn left join sh using (rn))"""
 
 AUDIT = (
     ORDERS
@@ -192,3 +192,15 @@ rep as (
   from sm join rp using (g) join has using (g) left join alone using (g)
   join sev on sev.rank = case when len(asked) = 0 then 0 when not has.found then 1 else coalesce(worst, 2) end)"""
 )
+
+#: Breadth-first distances of all nodes from the `starts` (g, source), and for each the least node before it.
+WALKS = """
+w(g, source, node, h) as (
+  select g, source, source, 0 from starts
+  union
+  select w.g, w.source, b.dst, w.h + 1 from w join both_ways b on b.g = w.g and b.src = w.node where w.h < 12),
+d as (select g, source, node, min(h) as h from w group by g, source, node),
+pv as (
+  select d.g, d.source, d.node, min(b.dst) as prev
+  from d join both_ways b on b.g = d.g and b.src = d.node join d z on z.g = d.g and z.source = d.source and z.node = b.dst and z.h = d.h - 1
+  group by d.g, d.source, d.node)"""

@@ -67,7 +67,7 @@ def q05_content_key_dedup(spark, sf):
     return c.groupBy(text.content_key(F.col("sentences")).alias("content_key")).agg(F.count("*").alias("chunks"), F.min("graph_id").alias("first_doc"))
 
 
-@query(r"""with d as (select doc_id, regexp_extract(text, '[A-Za-z]+ ([A-Za-z]+)', 1) as answer, string_split(text, '. ') as s from documents where lang = 'en')
+@query(r"""with d as (select doc_id, regexp_extract(text, '[A-Za-z]+ ([A-Za-z]+)', 1) as answer, string_split(text, '. ') as s from documents)
  select doc_id, coalesce(lower(answer) not in ('', 'yes', 'no') and len(list_filter(s, lambda x: regexp_matches(lower(x), '(^|[^\p{L}\p{N}_])' || lower(answer) || '($|[^\p{L}\p{N}_])'))) > 0, false) as grounded from d""")
 def q06_text_grounding(spark, sf):
     docs = A.table(spark, sf, "documents")
@@ -396,12 +396,13 @@ def q40_em_f1(spark, sf):
     return metrics.scored_answers(A.answers(spark, sf)).select("conv_id", "turn", "em", F.round("f1", 9).alias("f1"))
 
 
-@query(f"with {O.ANSWERS} select condition, answerable, count(*) as n, round(avg(em), 6) as em, round(avg(f1), 6) as f1, round(avg(n_facts), 6) as avg_facts from sc group by all")
+def _percents(*columns: str) -> str:
+    return ", ".join(f"round_even(100 * avg({c}), 2) as {c}" for c in columns) + ", round_even(avg(n_facts), 4) as avg_facts"
+
+
+@query(f"with {O.ANSWERS} select condition, answerable, count(*) as n, {_percents('em', 'f1')} from sc group by all")
 def q41_em_f1_by_condition(spark, sf):
-    s = metrics.scored_answers(A.answers(spark, sf))
-    return s.groupBy("condition", "answerable").agg(
-        F.count("*").alias("n"), F.round(F.avg("em"), 6).alias("em"), F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg("n_facts"), 6).alias("avg_facts")
-    )
+    return metrics.by_condition(metrics.scored_answers(A.answers(spark, sf)), "answerable")
 
 
 @query(f"""with {O.ANSWERS}, m as (select condition, avg(n_facts) as m from p where condition <> 'closed_book' group by condition)
@@ -565,15 +566,11 @@ def q58_contexts(spark, sf):
     })
 
 
-@query(f"""with {O.ANSWERS} select condition, count(*) filter (where n_facts < 8) as n_short, round(avg(n_facts), 6) as avg_facts,
- round(avg(em) filter (where n_facts < 6), 6) as em_short, round(avg(em) filter (where n_facts >= 6), 6) as em_full from sc where starts_with(condition, 'graph') group by condition""")
+@query(f"""with {O.ANSWERS} select condition, count(*) filter (where n_facts < 6) as n_short, round_even(avg(n_facts), 4) as avg_facts,
+ round_even(100 * avg(em) filter (where n_facts < 6), 2) as em_short, round_even(100 * avg(em) filter (where n_facts >= 6), 2) as em_full
+ from sc where starts_with(condition, 'graph') group by condition""")
 def q59_short_budgets(spark, sf):
-    s = metrics.scored_answers(A.answers(spark, sf))
-    short = F.col("n_facts") < 6
-    return s.filter(F.startswith("condition", F.lit("graph"))).groupBy("condition").agg(
-        F.count_if(F.col("n_facts") < 8).alias("n_short"), F.round(F.avg("n_facts"), 6).alias("avg_facts"),
-        F.round(F.avg(F.when(short, F.col("em"))), 6).alias("em_short"), F.round(F.avg(F.when(~short, F.col("em"))), 6).alias("em_full"),
-    )
+    return metrics.short_budgets(metrics.scored_answers(A.answers(spark, sf)), k=6)
 
 
 @query(f"""with recursive {O.AUDIT}, x as (select sm.g, titles[len(titles)] as title from sm),
@@ -666,14 +663,9 @@ def q70_source_chunks(spark, sf):
     return repair.source_chunks(ends, names, graph.places, graph.chunks).select("graph_id", F.col("chunk_idx").alias("ok"))
 
 
-@query("""select l_orderkey % 7 as new_edges_of, cast(sum(l_linenumber) as bigint) as new_edges, count(*) filter (where l_linenumber > 0) as samples from lineitem group by 1""")
+@query("select cast(sum(l_linenumber - 1) as bigint) as new_edges, count(*) filter (where l_linenumber > 1) as samples from lineitem")
 def q71_repair_totals(spark, sf):
-    lines = A.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 7).alias("k"), F.col("l_linenumber").alias("new_edges"))
-    out = None
-    for k in range(7):
-        one = metrics.repair_totals(lines.filter(F.col("k") == k)).select(F.lit(k).alias("new_edges_of"), "new_edges", "samples")
-        out = one if out is None else out.unionAll(one)
-    return out
+    return metrics.repair_totals(A.table(spark, sf, "lineitem").select((F.col("l_linenumber") - 1).alias("new_edges")))
 
 
 @query(f"with {O.ORDERS}, x as (select distinct inc.node from inc) select count(*) as known, (select count(*) from part) - count(*) as unknown from x")
@@ -683,3 +675,51 @@ def q72_known_names(spark, sf):
     parts = A.table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("entity_id"))
     known = parts.join(nodes, "entity_id", "left_semi").agg(F.count("*").alias("known"))
     return known.join(F.broadcast(parts.join(nodes, "entity_id", "left_anti").agg(F.count("*").alias("unknown"))))
+
+
+@query(f"""with recursive {O.ORDERS}, starts as (select g, min(node) as source from nodes group by g), {O.WALKS},
+ t as (select g, max(node) as node from nodes group by g),
+ k(g, node, h) as (select d.g, d.node, d.h from d join t using (g, node) union all select k.g, pv.prev, k.h - 1 from k join pv on pv.g = k.g and pv.node = k.node where k.h > 0),
+ bo as (select pp.g, src, dst, pp.ok, row_number() over (partition by pp.g, src, dst order by gold desc, len(ents) desc, pp.ok) as n from pp join e on e.g = pp.g and e.ok = pp.ok)
+ select y.g as graph_id, y.h as pos, x.node as from_node, y.node as to_node, bo.ok
+ from k x join k y on y.g = x.g and y.h = x.h + 1 join bo on bo.g = y.g and bo.src = least(x.node, y.node) and bo.dst = greatest(x.node, y.node) and bo.n = 1""")
+def q73_path_edges(spark, sf):
+    """The path from the least to the greatest node of each graph, with the edge to show for each hop."""
+    e = _edges(spark, sf)
+    ends = hypergraph.incidence(e).groupBy("graph_id").agg(F.min("entity_id").alias("src"), F.max("entity_id").alias("dst"))
+    hops = components.path_edges(components.path_nodes(projection.pairs(e), ends), projection.best_edge(e))
+    keys = e.select("graph_id", "edge_id", F.col("edge_seq.chunk_idx").alias("ok"))
+    return hops.join(keys, ["graph_id", "edge_id"]).select("graph_id", "pos", "from_node", "to_node", "ok")
+
+
+@query(f"""with recursive {O.ORDERS}, fl as (select g, min(ok) as a, max(ok) as b from e group by g), starts as (select distinct fl.g, node as source from fl join inc on inc.g = fl.g and inc.ok = fl.a),
+ {O.WALKS}, t as (select distinct fl.g, node from fl join inc on inc.g = fl.g and inc.ok = fl.b),
+ r as (select d.g, d.source, d.node, d.h, row_number() over (partition by d.g order by d.h, d.source, d.node) as n from d join t using (g, node) where d.source <> d.node)
+ select g as graph_id, source as src, node as dst, h as hops from r where n = 1""")
+def q74_best_path_between_sets(spark, sf):
+    """The shortest path from a node of each graph's first edge to another of its last."""
+    e = _edges(spark, sf)
+    own = e.groupBy("graph_id").agg(F.min_by("entities", "edge_seq").alias("from"), F.max_by("entities", "edge_seq").alias("to"))
+    sets = own.select("graph_id", F.lit(0).alias("set_id"), F.explode(F.create_map(F.lit("from"), F.col("from"), F.lit("to"), F.col("to"))).alias("side", "nodes"))
+    sets = sets.select("graph_id", "set_id", "side", F.explode("nodes").alias("node"))
+    return components.best_ends(projection.pairs(e), sets).drop("set_id")
+
+
+@query(f"""with {O.ANSWERS}, x as (select *, ['{"','".join(audit.SEVERITY)}'][conv_id % {len(audit.SEVERITY)} + 1] as failure_mode from sc)
+ select condition, failure_mode, count(*) as n, {_percents('em', 'f1')} from x group by all""")
+def q75_em_f1_by_failure_mode(spark, sf):
+    modes = F.array(*(F.lit(m) for m in audit.SEVERITY))
+    own = A.answers(spark, sf).withColumn("failure_mode", F.get(modes, F.pmod("conv_id", F.lit(len(audit.SEVERITY))).cast("int")))
+    return metrics.by_condition(metrics.scored_answers(own), "failure_mode")
+
+
+@query()
+def q76_repaired_contexts(spark, sf):
+    """Facts of the neighbourhood and of the guided walk once more, on the graphs with the edges that repair found."""
+    samples, graph, reports, chains = _audited(spark, sf)
+    broken = reports.filter("is_repairable").select(F.col("sample_id").alias("graph_id"))
+    own, lines = samples.join(broken, "graph_id", "left_semi"), chains.join(broken, "graph_id", "left_semi")
+    edges = flows.cut(flows.repaired(own, graph, lines, facts.RuleExtractor())[1])
+    scored = retrieve.scored_edges(samples, edges)
+    near = retrieve.khop_edges(_starts(edges), hypergraph.incidence(edges))
+    return retrieve.contexts(samples, {"graph_repair": retrieve.graph_evidence(scored, near), "graph_guided_repair": retrieve.guided_evidence(scored, _starts(edges))})
