@@ -103,3 +103,59 @@ def test_snapping(spark):
     hits = spark.createDataFrame([(1, "nearly", "known"), (1, "many", "x"), (1, "many", "y")], "graph_id int, label string, entity_id string")
     got = {r.label: (r.entity, r.snapped) for r in hypergraph.snapped(new, known, hits).collect()}
     assert got == {"Known": ("known", False), "nearly": ("known", True), "many": ("many", False), "None Such": ("none such", False)}
+
+
+def test_paths_and_best_ends_against_search(spark):
+    import random
+    from collections import deque
+
+    from weftgraph.operators import components
+
+    rng = random.Random(12)
+    links = {(g, *sorted(rng.sample(range(14), 2))) for g in range(6) for _ in range(13)}
+    rows = [(g, f"n{a:02}", f"n{b:02}") for g, a, b in sorted(links)]
+    pairs = spark.createDataFrame(rows, "graph_id int, src string, dst string")
+    near = {}
+    for g, a, b in rows:
+        near.setdefault((g, a), set()).add(b)
+        near.setdefault((g, b), set()).add(a)
+
+    def distances(g, start):
+        out, line = ({start: 0}, deque([start])) if (g, start) in near else ({}, deque())
+        while line:
+            at = line.popleft()
+            for b in near[g, at]:
+                if b not in out:
+                    out[b] = out[at] + 1
+                    line.append(b)
+        return out
+
+    asked = [(g, f"n{a:02}", f"n{b:02}") for g in range(6) for a, b in ((0, 13), (3, 3), (5, 2), (1, 99))]
+    nodes = components.path_nodes(pairs, spark.createDataFrame(asked, "graph_id int, src string, dst string"))
+    got = {}
+    for r in nodes.collect():
+        got.setdefault((r.graph_id, r.src, r.dst), {})[r.pos] = r.node
+    for g, a, b in asked:
+        far = distances(g, a)
+        if b not in far:
+            assert (g, a, b) not in got
+            continue
+        path = [b]
+        while path[-1] != a:
+            path.append(min(x for x in near[g, path[-1]] if far.get(x) == far[path[-1]] - 1))
+        assert [got[g, a, b][k] for k in range(len(path))] == path[::-1]
+    shown = pairs.filter("src <> 'n00'").withColumn("edge_id", pairs.src)
+    hops = components.path_edges(nodes, shown).collect()
+    assert len(hops) == sum(len(p) - 1 for p in got.values())
+    assert all(r.is_broken == (min(r.from_node, r.to_node) == "n00") and r.edge_id in (None, min(r.from_node, r.to_node)) for r in hops)
+
+    sets = [(g, s, side, f"n{rng.randrange(16):02}") for g in range(6) for s in range(3) for side in ("from", "to") for _ in range(3)]
+    best = components.best_ends(pairs, spark.createDataFrame(sets, "graph_id int, set_id int, side string, node string")).collect()
+    want = {}
+    for g in range(6):
+        for s in range(3):
+            start, end = ([x[3] for x in sets if x[:3] == (g, s, side)] for side in ("from", "to"))
+            every = [(distances(g, a)[b], a, b) for a in start for b in end if a != b and b in distances(g, a)]
+            if every:
+                want[g, s] = min(every)
+    assert {(r.graph_id, r.set_id): (r.hops, r.src, r.dst) for r in best} == want

@@ -45,14 +45,16 @@ def hop_counts(pair_rows: DataFrame, sources: DataFrame, max_hops: int | None =
     near = cut(ahead if directed else ahead.unionAll(pair_rows.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     known = near.select("graph_id", F.col("src").alias("source")).union(near.select("graph_id", F.col("dst").alias("source"))).distinct()
     seen = cut(sources.select("graph_id", "source").distinct().join(known, ["graph_id", "source"]).select("graph_id", "source", F.col("source").alias("node"), F.lit(0).alias("hops")))
-    front = seen
+    front, last = seen, seen.limit(0)
     for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         step = front.join(near, (front["graph_id"] == near["graph_id"]) & (front["node"] == near["src"]))
         step = step.select(front["graph_id"], "source", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, ["graph_id", "source", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        # where links go both ways, a neighbour of the front is in it, in the front before, or new
+        known = seen if directed else last.unionByName(front)
+        last, front = front, cut(step.join(known, ["graph_id", "source", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front)) if hop % 8 == 0 else seen.unionByName(front)
+        seen = cut(seen.unionByName(front)) if directed and hop % 8 == 0 else seen.unionByName(front)
     return seen
 
 

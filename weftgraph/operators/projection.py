@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .shared import cut
 
 
 def clique(entities: Column) -> Column:
@@ -28,6 +29,13 @@ def pairs(edges: DataFrame, directed: bool = False) -> DataFrame:
     return named.groupBy("graph_id", "src", "dst").agg(ordered.alias("edge_ids"), F.bool_or("is_gold").alias("is_gold"))
 
 
+def linked_pairs(edges: DataFrame, directed: bool = False) -> DataFrame:
+    """(graph_id, src, dst) of `pairs`, without the edges behind them."""
+    each = edges.select("graph_id", F.explode(clique(F.col("entities"))).alias("p"))
+    ends = (F.col("p.a"), F.col("p.b")) if directed else (F.least("p.a", "p.b"), F.greatest("p.a", "p.b"))
+    return each.select("graph_id", ends[0].alias("src"), ends[1].alias("dst")).distinct()
+
+
 def best_edge(edges: DataFrame, directed: bool = False) -> DataFrame:
     """(graph_id, src, dst, edge_id): the edge to show for a hop: gold first, then most entities, then the earliest."""
     each = edges.select("graph_id", "edge_id", "edge_seq", "is_gold", F.size("entities").alias("arity"), F.explode(clique(F.col("entities"))).alias("p"))
@@ -47,7 +55,7 @@ def graph_stats(edges: DataFrame, directed: bool = False) -> DataFrame:
 
     Components aren't counted for directed graphs (null).
     """
-    linked = pairs(edges, directed)
+    linked = cut(linked_pairs(edges, directed))
     own = edges.select("graph_id", "edge_id", F.array_distinct("entities").alias("own"))
     named = own.select("graph_id", F.explode("own").alias("node")).groupBy("graph_id").agg(F.count_distinct("node").alias("nodes"))
     arity = own.groupBy("graph_id").agg(F.count("*").alias("hyperedges"), F.max(F.size("own")).alias("max_arity"))

@@ -12,10 +12,16 @@ BROADCAST_ROWS = 500_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that spark.checkpoint.dir names; a private one only where that is unset."""
+    """Checkpoint in the shared folder that spark.checkpoint.dir names.
+
+    A private one is made only on a single machine where that is unset; on a
+    cluster executors couldn't read it, so there it is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 

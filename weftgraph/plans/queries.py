@@ -626,10 +626,12 @@ def q66_directed_pairs(spark, sf):
     return p.select("graph_id", "src", "dst", F.size("edge_ids").cast("long").alias("n_edges"), "is_gold")
 
 
-@query()
+@query(r"""with f as (select doc_id, regexp_extract_all(text, '(?:[A-Z]|[^\x00-\x7F\P{L}]|[\p{No}\p{Nl}])[\p{L}\p{N}_\x27-]*(?:[\s\x0B\x1C-\x1F\x{85}\p{Z}]+(?:[A-Z]|[^\x00-\x7F\P{L}]|[\p{No}\p{Nl}])[\p{L}\p{N}_\x27-]*)*') as s from (select doc_id, coalesce(text, '') as text from documents))
+ select doc_id as graph_id, array_to_string(list_filter(s, lambda x: regexp_matches(x, '^\p{Lu}')), chr(10)) as entities from f""")
 def q67_question_entities(spark, sf):
     docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("graph_id"), F.col("text").alias("question"))
-    return facts.question_entities(docs, facts.RuleExtractor())
+    own = facts.question_entities(docs, facts.RuleExtractor())
+    return own.select("graph_id", F.array_join("entities", "\n").alias("entities"))
 
 
 @query(f"with w as (select ['{"','".join(r for _, r in _RAW)}'][o_orderkey % 14 + 1] as reason from orders) select case when reason = 'valid' then 'valid' else 'rejected:' || reason end as measure, count(*) as n from w group by 1")
@@ -723,3 +725,21 @@ def q76_repaired_contexts(spark, sf):
     scored = retrieve.scored_edges(samples, edges)
     near = retrieve.khop_edges(_starts(edges), hypergraph.incidence(edges))
     return retrieve.contexts(samples, {"graph_repair": retrieve.graph_evidence(scored, near), "graph_guided_repair": retrieve.guided_evidence(scored, _starts(edges))})
+
+
+@query(f"""with {O.ORDERS}, x as (select g, ok, row_number() over (partition by g order by ok) as n from e where ok % 3 > 0) select g as graph_id, ok from x where n <= {repair.MAX_EDGES}""")
+def q77_new_edges_of_an_action(spark, sf):
+    """What one repair action may add to a graph: edges it doesn't have yet, in order, up to the limit of the action."""
+    e = _edges(spark, sf)
+    before = e.filter(F.col("edge_seq.chunk_idx") % 3 == 0)
+    found = e.withColumn("entities", F.reverse("entities"))  # listed another way, an edge is the same
+    added = repair.new_edges(found, before, most_per_graph=repair.MAX_EDGES)
+    return added.select("graph_id", F.col("edge_seq.chunk_idx").alias("ok"))
+
+
+@query("select doc_id, case when turn = 0 then 'none' else 'line ' || turn end as answer, regexp_replace('a/b:' || doc_id, '[^A-Za-z0-9_-]', '_', 'g') as file from labels, (select unnest(range(0, 3)) as turn)")
+def q78_first_lines(spark, sf):
+    """The first line of a response, and chunk ids as file names."""
+    rows = A.table(spark, sf, "labels").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("turn"))
+    said = F.when(F.col("turn") == 0, F.lit(" none\nbecause")).otherwise(F.concat(F.lit("\n line "), F.col("turn").cast("string"), F.lit(" \nand more")))
+    return rows.select("doc_id", text.first_line(said).alias("answer"), text.file_name(F.concat(F.lit("a/b:"), F.col("doc_id").cast("string"))).alias("file"))
