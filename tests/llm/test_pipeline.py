@@ -34,3 +34,24 @@ def test_stages_end_to_end(spark, tmp_path):
 def test_registry():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES)
     assert numbers == list(range(1, 11)) and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+def written(spark, path, docs, labels=(), items=()):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, kind).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, written(spark, tmp_path, [])).count() == 0
+
+
+def test_repeated_rows_and_rows_without_an_id(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, b), (2, c), (2, None), (2, ""), (3, "É " + c)]
+    sf = written(spark, tmp_path, [(i, t, None, None, None) for i, t in rows], items=[(None, None), (1, "")])
+    got = sorted((str(r.doc_id), r.size) for r in corpus_pipeline.run(spark, sf).collect())
+    # of copies one stays, of near copies the least id; a text that only shares an id with another stays
+    assert got == [("1", 30), ("2", 0), ("2", 30), ("None", 30)]

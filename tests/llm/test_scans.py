@@ -323,3 +323,29 @@ def test_contamination_with_a_large_or_a_full_filter(spark, docs_of, monkeypatch
         monkeypatch.setattr(decontaminate, "LEAST_BITS", min(bits, 18))
         monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
         assert sorted(tuple(r) for r in decontaminate.contamination(docs_of(rows), bench, n=8).collect()) == want
+
+
+def test_token_counts_against_merges_one_by_one():
+    import base64
+
+    import regex
+
+    with open(token_counts.VOCABULARY, "rb") as lines:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
+
+    def length(text):
+        total = 0
+        for piece in regex.findall(token_counts.PATTERN, text):
+            parts = [bytes([b]) for b in piece.encode()]
+            while len(parts) > 1:
+                rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if rank == 1 << 60:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            total += len(parts)
+        return total
+
+    rng = random.Random(2)
+    texts = ["Hello world, it's 2024!", "été à la plage", "  two  spaces\n\nlines\t", "😀 x", "don't we'll I'm", "a" * 40]
+    texts += ["".join(rng.choice("abcdefgh étß.,'!1 2\n") for _ in range(rng.randrange(60))) for _ in range(100)]
+    assert [token_counts.encoded_length(t) for t in texts] == [length(t) for t in texts]
