@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
-from ..operators import audit, components, facts, hypergraph, projection, repair, resolve
-from ..operators.shared import cut
+from ..operators import audit, components, facts, hypergraph, projection, repair, resolve, rowwise
+from ..operators.shared import cut, stored
+
+#: What audit_chains and reports read of a sample.
+READY = ("graph_id", "hop_type", "end", "entities", "titles", "neighbours")
 
 
-@dataclass
 class Graph:
-    """The tables of all graphs of a corpus; made by `graph_of`."""
+    """The tables of all graphs of a corpus; made by `graph_of`. What follows from edges is worked out when it is asked for."""
+
+    def __init__(self, edges: DataFrame, chunks: DataFrame):
+        self.edges, self.chunks = edges, chunks
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return hypergraph.incidence(self.edges)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return hypergraph.nodes(self.places)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return stored(projection.linked_pairs(self.edges))
 
-    edges: DataFrame
-    places: DataFrame
-    nodes: DataFrame
-    pairs: DataFrame
-    parts: DataFrame
-    chunks: DataFrame
+    @cached_property
+    def parts(self) -> DataFrame:
+        return components.components(self.pairs)
 
     def neighbours(self) -> DataFrame:
         both = projection.both_ways(self.pairs)
@@ -30,13 +44,14 @@ class Graph:
     def provenance(self) -> DataFrame:
         return resolve.title_entities(self.places, self.chunks)
 
+    def only(self, ids: DataFrame) -> Graph:
+        """The graphs of these (graph_id) rows."""
+        return Graph(self.edges.join(ids, "graph_id", "left_semi"), self.chunks.join(ids, "graph_id", "left_semi"))
+
 
 def graph_of(edges: DataFrame, chunks: DataFrame) -> Graph:
-    """Derives a graph's tables. Edges and pairs are checkpointed, as all that follows reads them several times."""
-    edges = cut(edges)
-    places = hypergraph.incidence(edges)
-    pairs = cut(projection.pairs(edges))
-    return Graph(edges, places, hypergraph.nodes(places), pairs, components.components(pairs), chunks)
+    """A graph whose edges are stored first, as all that follows reads them several times."""
+    return Graph(stored(edges), chunks)
 
 
 def extracted_edges(chunks: DataFrame, extractor) -> tuple[DataFrame, DataFrame]:
@@ -49,15 +64,29 @@ def extracted_edges(chunks: DataFrame, extractor) -> tuple[DataFrame, DataFrame]
     return hypergraph.hyperedges(typed), facts.parse_failures(checked, answered)
 
 
-def audit_reports(samples: DataFrame, graph: Graph, semantic: bool = False) -> tuple[DataFrame, DataFrame]:
+def audit_reports(samples: DataFrame, graph: Graph, semantic: bool = False, most: int = rowwise.ROW_PLACES) -> tuple[DataFrame, DataFrame]:
     """(reports, chains) of (graph_id, answer, hop_type, gold, question_entities, parse_failures) samples."""
+    ready = stored(_joined(samples, graph, semantic)) if semantic else _prepared(samples, graph, most)
+    chains = stored(audit.audit_chains(ready))
+    return audit.reports(samples, ready, chains), chains
+
+
+def _joined(samples: DataFrame, graph: Graph, semantic: bool = False) -> DataFrame:
+    """What the audit looks at, by joins: for graphs of any size."""
     asked = samples.select("graph_id", F.explode("question_entities").alias("label")).unionByName(samples.select("graph_id", F.col("answer").alias("label")))
     titles = samples.select("graph_id", F.explode(F.transform("gold", lambda g: g["title"])).alias("title"))
-    by_entity = cut(resolve.resolve_entities(asked, graph.nodes, semantic))
-    by_title = cut(resolve.resolve_titles(titles, graph.nodes, graph.provenance(), semantic))
-    ready = cut(audit.prepared(samples, graph.chunks, by_entity, by_title, graph.parts, graph.neighbours()))
-    chains = cut(audit.audit_chains(ready))
-    return audit.reports(samples, ready, chains), chains
+    by_entity = stored(resolve.resolve_entities(asked, graph.nodes, semantic))
+    by_title = stored(resolve.resolve_titles(titles, graph.nodes, graph.provenance(), semantic))
+    return audit.prepared(samples, graph.chunks, by_entity, by_title, graph.parts, graph.neighbours()).select(*READY)
+
+
+def _prepared(samples: DataFrame, graph: Graph, most: int) -> DataFrame:
+    """What the audit looks at: graphs of up to `most` places in their rows, larger ones by joins."""
+    ready = stored(rowwise.prepared(samples, graph.edges, graph.chunks, most))
+    small, large = ready.filter(F.col("size") <= most).select(*READY), ready.filter(F.col("size") > most).select("graph_id")
+    if large.isEmpty():
+        return small
+    return small.unionByName(stored(_joined(samples.join(large, "graph_id", "left_semi"), graph.only(large))))
 
 
 def names_of(labels: DataFrame, graph: Graph, semantic: bool = False) -> DataFrame:

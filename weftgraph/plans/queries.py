@@ -286,9 +286,9 @@ def q27_pair_titles(spark, sf):
 
 
 def _audited(spark, sf):
-    chunks = A.order_chunks(spark, sf)
-    graph = flows.graph_of(A.order_edges(chunks), chunks)
-    samples = A.audit_samples(spark, sf, chunks)
+    chunks = flows.stored(A.order_chunks(spark, sf)).repartition("graph_id")  # edges, samples and the audit gather by graph
+    graph = flows.Graph(A.order_edges(chunks), chunks)
+    samples = flows.stored(A.audit_samples(spark, sf, chunks))
     reports, chains = flows.audit_reports(samples, graph)
     return samples, graph, reports, chains
 
