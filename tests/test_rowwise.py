@@ -1,6 +1,7 @@
 import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import audit, hypergraph, rowwise
@@ -48,12 +49,13 @@ def test_large_graphs_are_not_gathered(spark):
     assert got.filter(F.exists("titles", lambda t: F.size(t["set"]["entities"]) > 0)).isEmpty() and got.count() > 0
 
 
-def test_audit_leaves_little_on_disk(spark):
+@pytest.mark.parametrize(("name", "rows"), [("q29_terminal_status", 1914), ("q35_corpus_rollup", 23)])
+def test_audit_leaves_little_on_disk(spark, name, rows):
     flows.stored(spark.range(1))
     folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
     size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
     before = size()
-    assert queries.q29_terminal_status(spark, DATA).count() == 1914
+    assert queries.QUERIES[name](spark, DATA).count() == rows
     tables = sum(Path(DATA, f"{t}.parquet").stat().st_size for t in ("customer", "orders", "lineitem"))
     assert size() - before < 2 * tables
 
