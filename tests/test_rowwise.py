@@ -49,8 +49,8 @@ def test_large_graphs_are_not_gathered(spark):
     assert got.filter(F.exists("titles", lambda t: F.size(t["set"]["entities"]) > 0)).isEmpty() and got.count() > 0
 
 
-@pytest.mark.parametrize(("name", "rows"), [("q29_terminal_status", 1914), ("q35_corpus_rollup", 23)])
-def test_audit_leaves_little_on_disk(spark, name, rows):
+@pytest.mark.parametrize(("name", "rows"), [("q29_terminal_status", 1914), ("q35_corpus_rollup", 23), ("q73_path_edges", 224)])
+def test_queries_leave_little_on_disk(spark, name, rows):
     flows.stored(spark.range(1))
     folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
     size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
@@ -60,6 +60,15 @@ def test_audit_leaves_little_on_disk(spark, name, rows):
     assert size() - before < 2 * tables
 
 
+def test_paths_in_rows_are_those_of_joins(spark):
+    rng = random.Random(4)
+    facts = [(g, c, 0, f"c{c}", [rng.choice([*map(str, range(12)), None]) for _ in range(rng.randrange(2, 5))], "r", 0, 1.0, ["x"], rng.choice([[0], []])) for g in range(25) for c in range(rng.randrange(1, 12))]
+    edges = hypergraph.hyperedges(spark.createDataFrame(facts, FACT))
+    ends = spark.createDataFrame([(g, str(rng.randrange(13)), str(rng.randrange(13))) for g in range(25) for _ in range(3)], "graph_id int, src string, dst string")
+    rows, joins, mixed = (sorted(map(str, flows.shown_paths(edges, ends, most).collect())) for most in (20_000, 0, 15))
+    assert rows == joins == mixed and len(rows) > 40
+
+
 def test_components_of_one_graph():
     assert rowwise.components_of([["c", "b"], ["x", None, "y"], ["b", "a"], [None, "z"], ["y", "q"]]) == {
         "a": "a", "b": "a", "c": "a", "x": "q", "y": "q", "q": "q", "z": "z"

@@ -188,3 +188,58 @@ def prepared(samples: DataFrame, edges: DataFrame, chunks: DataFrame, most: int
         "graph_id", "hop_type", answer.alias("end"), F.coalesce(listed("question_entities", F.col("asked"), F.col("entity_sets")), empty(item)).alias("entities"),
         F.coalesce(listed("titles", F.col("title_norms"), F.col("title_sets")), empty(item)).alias("titles"), "neighbours", "size",
     )
+
+
+def found_path(edges: list[list], at: dict[str, list[int]], src: str, dst: str) -> list[str]:
+    """The path of components.path_nodes from src to dst, empty for none. at: the edges of each node."""
+    if src not in at or dst not in at:
+        return []
+    hops, line = {src: 0}, [src]
+    while line and dst not in hops:
+        line = [n for a in line for k in at[a] for n in edges[k] if n is not None and n not in hops and not hops.update({n: hops[a] + 1})]
+    if dst not in hops:
+        return []
+    path = [dst]
+    while path[-1] != src:
+        path.append(min(n for k in at[path[-1]] for n in edges[k] if n is not None and hops.get(n) == hops[path[-1]] - 1))
+    return path[::-1]
+
+
+def edges_at(edges: list[list]) -> dict[str, list[int]]:
+    at: dict[str, list[int]] = {}
+    for k, names in enumerate(edges):
+        for n in dict.fromkeys(names):
+            if n is not None:
+                at.setdefault(n, []).append(k)
+    return at
+
+
+def path_edges(edges: DataFrame, ends: DataFrame, most: int = ROW_PLACES) -> DataFrame:
+    """(graph_id, size, hops): for (graph_id, src, dst) rows the hops of components.path_edges, with the edge_seq of each edge.
+
+    Graphs of more than `most` places have none.
+    """
+    order = [(~F.col("is_gold")).alias("plain"), (-F.size("entities")).alias("few"), "edge_seq", "edge_id", "entities"]  # as projection.best_edge
+    own = gathered(edges.select("graph_id", "is_gold", "edge_seq", "edge_id", "entities"), F.struct(*order), F.size("entities"), most)
+    asked = ends.groupBy("graph_id").agg(F.collect_set(F.struct("src", "dst")).alias("ends"))
+    rows = own.join(asked, "graph_id").withColumn("items", F.array_sort("items"))
+    kinds = {n: edges.schema[n].dataType.simpleString() for n in ("edge_seq", "edge_id")}
+
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        column, out, first = batch.column("items"), [], 0
+        flat = column.flatten()
+        seq, name = flat.field(2), flat.field(3)
+        for (items,), (srcs, dsts) in zip(lists(column, 4), lists(batch.column("ends"), 0, 1), strict=True):
+            at, hops = edges_at(items), []
+            for src, dst in zip(srcs, dsts, strict=True):
+                path = found_path(items, at, src, dst)
+                for pos, (a, b) in enumerate(zip(path, path[1:], strict=False), 1):
+                    k = next(k for k in at[a] if b in items[k])
+                    hops.append({"src": src, "dst": dst, "pos": pos, "from_node": a, "to_node": b, "edge_id": name[first + k].as_py(), "edge_seq": seq[first + k].as_py()})
+            out.append(hops)
+            first += len(items)
+        hop = [(n, pa.string()) for n in ("src", "dst")] + [("pos", pa.int32())] + [(n, pa.string()) for n in ("from_node", "to_node", "edge_id")] + [("edge_seq", seq.type)]
+        return {"hops": pa.array(out, pa.list_(pa.struct(hop)))}
+
+    added = f"hops array<struct<src:string,dst:string,pos:int,from_node:string,to_node:string,edge_id:{kinds['edge_id']},edge_seq:{kinds['edge_seq']}>>"
+    return in_rows(rows, work, added, ["items", "ends"])

@@ -89,6 +89,21 @@ def _prepared(samples: DataFrame, graph: Graph, most: int) -> DataFrame:
     return small.unionByName(stored(_joined(samples.join(large, "graph_id", "left_semi"), graph.only(large))))
 
 
+def shown_paths(edges: DataFrame, ends: DataFrame, most: int = rowwise.ROW_PLACES) -> DataFrame:
+    """(graph_id, src, dst, pos, from_node, to_node, edge_id, edge_seq): the hops of a shortest path for each (graph_id, src, dst) row that has one.
+
+    As components.path_edges; graphs of up to `most` places in their rows, larger ones round by round.
+    """
+    made = stored(rowwise.path_edges(edges, ends, most).filter((F.col("size") > most) | (F.size("hops") > 0)))
+    hops, large = made.filter(F.col("size") <= most).select("graph_id", F.inline("hops")), made.filter(F.col("size") > most).select("graph_id")
+    if large.isEmpty():
+        return hops
+    own = stored(edges.join(large, "graph_id", "left_semi"))
+    nodes = components.path_nodes(stored(projection.linked_pairs(own)), ends.join(large, "graph_id", "left_semi"))
+    walked = components.path_edges(nodes, projection.best_edge(own)).join(own.select("graph_id", "edge_id", "edge_seq"), ["graph_id", "edge_id"])
+    return hops.unionByName(walked.select(*hops.columns))
+
+
 def names_of(labels: DataFrame, graph: Graph, semantic: bool = False) -> DataFrame:
     """(graph_id, norm, entity_id): names as entities, or else as titles."""
     as_title = labels.withColumnRenamed("label", "title")

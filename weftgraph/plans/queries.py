@@ -687,11 +687,10 @@ def q72_known_names(spark, sf):
  from k x join k y on y.g = x.g and y.h = x.h + 1 join bo on bo.g = y.g and bo.src = least(x.node, y.node) and bo.dst = greatest(x.node, y.node) and bo.n = 1""")
 def q73_path_edges(spark, sf):
     """The path from the least to the greatest node of each graph, with the edge to show for each hop."""
-    e = _edges(spark, sf)
-    ends = hypergraph.incidence(e).groupBy("graph_id").agg(F.min("entity_id").alias("src"), F.max("entity_id").alias("dst"))
-    hops = components.path_edges(components.path_nodes(projection.pairs(e), ends), projection.best_edge(e))
-    keys = e.select("graph_id", "edge_id", F.col("edge_seq.chunk_idx").alias("ok"))
-    return hops.join(keys, ["graph_id", "edge_id"]).select("graph_id", "pos", "from_node", "to_node", "ok")
+    dealt = A.order_edges(A.order_chunks(spark, sf).repartition("graph_id"))
+    e = flows.stored(dealt.select("graph_id", "edge_id", "edge_seq", "is_gold", "entities"))
+    ends = e.groupBy("graph_id").agg(F.min(F.array_min("entities")).alias("src"), F.max(F.array_max("entities")).alias("dst"))
+    return flows.shown_paths(e, ends).select("graph_id", "pos", "from_node", "to_node", F.col("edge_seq.chunk_idx").alias("ok"))
 
 
 @query(f"""with recursive {O.ORDERS}, fl as (select g, min(ok) as a, max(ok) as b from e group by g), starts as (select distinct fl.g, node as source from fl join inc on inc.g = fl.g and inc.ok = fl.a),
