@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text
 from weftgraph.operators import chunking
+from weftgraph.plans import queries
 from weftgraph.sources import qa
 
 
@@ -94,3 +95,19 @@ def test_graph_cache_and_records(spark, tmp_path):
     assert (a.count(), b.count()) == (2, 3)
     qa.write_records(spark.createDataFrame([("s", "bridge")], "sample_id string, hop_type string"), str(tmp_path / "r"))
     assert qa.read_reports(spark, str(tmp_path / "r")).first().sample_id == "s"
+
+
+def test_titles_have_markup_signs_alone_resolved(spark, tmp_path):
+    titles = {1: "a &lt;b&gt; &amp;lt; &amp;amp;", 2: "x = &quot;1&quot; &#39;", 3: "cut off &amp", 4: "&lt &gt &copy;", 5: ""}
+    pages = [(k, f"<html><title>{t}</title>") for k, t in titles.items()] + [(6, None), (7, "no title")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.title for r in queries.q55_unescaped_titles(spark, str(tmp_path)).collect()}
+    assert got == {1: "a <b> &lt; &amp;", 2: titles[2], 3: titles[3], 4: titles[4], 5: "", 6: None, 7: ""}
+    duckdb = pytest.importorskip("duckdb")
+    sql = queries.ORACLE_SQL["q55_unescaped_titles"].replace("from pages", f"from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == dict(duckdb.sql(sql).fetchall())
+
+
+def test_unescape_resolves_every_reference(spark):
+    df = spark.createDataFrame([("&quot;a&quot; &#39; &amp &copy;",), (None,)], "t string")
+    assert [r.u for r in df.select(chunking.unescape("t").alias("u")).collect()] == ['"a" \' & ©', None]

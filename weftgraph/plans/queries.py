@@ -532,9 +532,9 @@ def q54_shortest_paths(spark, sf):
 
 @query("select page_id, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title from pages")
 def q55_unescaped_titles(spark, sf):
-    """Character references of page titles as characters."""
+    """Markup signs of page titles as characters."""
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return A.table(spark, sf, "pages").select("page_id", chunking.unescape(title).alias("title"))
+    return A.table(spark, sf, "pages").select("page_id", chunking.unescape_markup(title).alias("title"))
 
 
 def _scored(spark, sf):
