@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import audit, hypergraph, rowwise
+from weftgraph.operators import audit, facts, hypergraph, rowwise
 from weftgraph.plans import flows, queries
 
 from test_audit import CHUNK, SAMPLE
@@ -18,16 +18,16 @@ def odd_graphs(spark, seed):
     rng = random.Random(seed)
     names = ["ada", "bob", "ada lovelace", "old bob", "north sea", "sea", "x", "", None, "lake como", "como", "a\x1cb", "city of bob", "deep", "north"]
     titles = ["T", "north sea", "Old  Bob", "", " ", None, "Como", "the deep north", "a\x1cb"]
-    facts, chunks, samples = [], [], []
+    said, chunks, samples = [], [], []
     for g in range(60):
         for c in range(rng.randrange(5)):
             chunk = f"c{c // 2 if g % 7 == 0 else c}"
             chunks.append((g, c, chunk, rng.choice(titles), [f"{rng.choice(names)} met {rng.choice(names)}."], []))
-            facts += [(g, c, k, chunk, rng.choices(names, k=rng.randrange(1, 5)), "r", 0, 1.0, ["x"], []) for k in range(rng.randrange(3))]
+            said += [(g, c, k, chunk, rng.choices(names, k=rng.randrange(1, 5)), "r", 0, 1.0, ["x"], []) for k in range(rng.randrange(3))]
         asked = rng.choice([None, [], rng.choices([*names, "bob old", "lost", "SEA "], k=rng.randrange(1, 4))])
         gold = [(i, t, [0]) for i, t in enumerate(rng.choices([*titles, "lost"], k=rng.randrange(3)))]
         samples.append((g, "q?", rng.choice([*names, "yes", "sea north", "Bob"]), rng.choice(["bridge", "comparison", "other"]), gold, asked, 0))
-    edges = hypergraph.hyperedges(spark.createDataFrame(facts, FACT))
+    edges = hypergraph.hyperedges(spark.createDataFrame(said, FACT))
     return spark.createDataFrame(samples, SAMPLE), edges, spark.createDataFrame(chunks, CHUNK)
 
 
@@ -60,10 +60,22 @@ def test_queries_leave_little_on_disk(spark, name, rows):
     assert size() - before < 2 * tables
 
 
+def test_repair_in_rows_reads_what_joins_read(spark):
+    samples, edges, chunks = odd_graphs(spark, 5)
+    chunks = chunks.withColumn("sentences", F.transform("sentences", lambda x: F.replace(F.initcap(x), F.lit("Met"), F.lit("met")))).filter("graph_id % 7 <> 0")  # unique ids
+    graph = flows.graph_of(edges.filter("graph_id % 7 <> 0"), chunks)
+    _, chains = flows.audit_reports(samples, graph)
+    rows, joins = (flows.repaired(samples, graph, chains, facts.RuleExtractor(), most=most) for most in (20_000, 0))
+    found = [sorted(map(str, x.collect())) for x in (rows[0], joins[0])]
+    assert found[0] == found[1] and any("found_facts" in x for x in found[0]) and any("nothing_new" in x for x in found[0])
+    ids = lambda df: sorted((r.graph_id, r.edge_id) for r in df.select("graph_id", "edge_id").collect())
+    assert ids(rows[1]) == ids(joins[1])
+
+
 def test_paths_in_rows_are_those_of_joins(spark):
     rng = random.Random(4)
-    facts = [(g, c, 0, f"c{c}", [rng.choice([*map(str, range(12)), None]) for _ in range(rng.randrange(2, 5))], "r", 0, 1.0, ["x"], rng.choice([[0], []])) for g in range(25) for c in range(rng.randrange(1, 12))]
-    edges = hypergraph.hyperedges(spark.createDataFrame(facts, FACT))
+    said = [(g, c, 0, f"c{c}", [rng.choice([*map(str, range(12)), None]) for _ in range(rng.randrange(2, 5))], "r", 0, 1.0, ["x"], rng.choice([[0], []])) for g in range(25) for c in range(rng.randrange(1, 12))]
+    edges = hypergraph.hyperedges(spark.createDataFrame(said, FACT))
     ends = spark.createDataFrame([(g, str(rng.randrange(13)), str(rng.randrange(13))) for g in range(25) for _ in range(3)], "graph_id int, src string, dst string")
     rows, joins, mixed = (sorted(map(str, flows.shown_paths(edges, ends, most).collect())) for most in (20_000, 0, 15))
     assert rows == joins == mixed and len(rows) > 40

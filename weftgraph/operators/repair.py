@@ -30,7 +30,7 @@ def repair_targets(samples: DataFrame, chains: DataFrame) -> DataFrame:
     gaps = gaps.select("graph_id", "chain_pos", "k", F.lit("segment").alias("kind"), options(F.col("s.from_node")).alias("src_options"), options(F.col("s.to_node")).alias("dst_options"))
     ends = real.filter("terminal.status = 'entity_unreached' and size(titles) > 0").select(
         "graph_id", "chain_pos", F.lit(1_000_000).alias("k"), F.lit("terminal").alias("kind"),
-        F.array(F.element_at("titles", -1)).alias("src_options"), F.array("answer").alias("dst_options"),
+        F.array(F.get("titles", F.size("titles") - 1)).alias("src_options"), F.array("answer").alias("dst_options"),
     )
     once = gaps.unionByName(ends).groupBy("graph_id", "kind", "src_options", "dst_options").agg(F.min(F.struct("chain_pos", "k")).alias("first"))
     itself = (F.size("src_options") == 1) & (F.size("dst_options") == 1) & (normalize(F.get("src_options", 0)) == normalize(F.get("dst_options", 0)))
@@ -47,7 +47,7 @@ def primary_gaps(samples: DataFrame, chains: DataFrame) -> DataFrame:
     gaps = real.select("graph_id", "chain_pos", "question_entities", F.posexplode("segments").alias("k", "s")).filter("s.is_broken")
     gaps = gaps.select("graph_id", "chain_pos", "k", F.lit("segment").alias("kind"), name(F.col("s.from_node")).alias("src"), name(F.col("s.to_node")).alias("dst"))
     ends = real.filter("terminal.status = 'entity_unreached' and size(titles) > 0").select(
-        "graph_id", "chain_pos", F.lit(1_000_000).alias("k"), F.lit("terminal").alias("kind"), F.element_at("titles", -1).alias("src"), F.col("answer").alias("dst")
+        "graph_id", "chain_pos", F.lit(1_000_000).alias("k"), F.lit("terminal").alias("kind"), F.get("titles", F.size("titles") - 1).alias("src"), F.col("answer").alias("dst")
     )
     order = Window.partitionBy("graph_id").orderBy("chain_pos", "k")
     both = gaps.unionByName(ends).filter("src is not null and dst is not null")

@@ -83,39 +83,42 @@ def components_of(edges: list[list]) -> dict[str, str]:
     return {x: find(x) for x in root}
 
 
-def resolved(edges: list[list], edge_chunks: list, chunk_ids: list, chunk_titles: list, asked: list, titles: list, min_length: int = MIN_FUZZY_LENGTH) -> tuple[list, list, list]:
-    """(nodes of each asked norm, of each title's norm, components) of one graph, as resolve_entities and resolve_titles have them without vectors."""
-    part = components_of(edges)
-    words: dict[str, set[str]] = {}
-
-    def fuzzy(norm: str, either: bool) -> list[str]:
-        if not words:
-            words.update((n, _tokens(n)) for n in part if len(n) >= min_length)
+class Names:
+    """What the names in one graph resolve to, as resolve_entities and resolve_titles have it without vectors.
+
+    edge_chunks, edges: chunk id and entities of each edge; chunk_ids, chunk_titles: id and normalised title of each chunk.
+    """
+
+    def __init__(self, edges: list[list], edge_chunks: list, chunk_ids: list, chunk_titles: list, titles: list, nodes, min_length: int = MIN_FUZZY_LENGTH):
+        self.nodes, self.min_length = nodes, min_length
+        self.words: dict[str, set[str]] = {}
+        wanted = {t for t in titles if t}
+        by_chunk: dict = {}
+        for chunk, title in zip(chunk_ids, chunk_titles, strict=True):
+            if title in wanted and chunk is not None:
+                by_chunk.setdefault(chunk, set()).add(title)
+        self.named: dict[str, set] = {}
+        for chunk, names in zip(edge_chunks, edges, strict=True):
+            for title in by_chunk.get(chunk, ()):
+                self.named.setdefault(title, set()).update(names)
+
+    def _fuzzy(self, norm: str, either: bool) -> list[str]:
+        if not self.words:
+            self.words = {n: _tokens(n) for n in self.nodes if len(n) >= self.min_length}
         own = _tokens(norm)
-        return [n for n, t in words.items() if t & own and (t <= own or either and own <= t)]
+        return [n for n, t in self.words.items() if t & own and (t <= own or either and own <= t)]
 
-    def as_entity(norm: str | None) -> list[str]:
+    def as_entity(self, norm: str | None) -> list[str]:
         if not norm:
             return []
-        return [norm] if norm in part else fuzzy(norm, True) if len(norm) >= min_length else []
-
-    wanted = {t for t in titles if t}
-    by_chunk: dict = {}
-    for chunk, title in zip(chunk_ids, chunk_titles, strict=True):
-        if title in wanted and chunk is not None:
-            by_chunk.setdefault(chunk, set()).add(title)
-    named: dict[str, set] = {}
-    for chunk, names in zip(edge_chunks, edges, strict=True):
-        for title in by_chunk.get(chunk, ()):
-            named.setdefault(title, set()).update(names)
-
-    def as_title(norm: str | None) -> list[str]:
+        return [norm] if norm in self.nodes else self._fuzzy(norm, True) if len(norm) >= self.min_length else []
+
+    def as_title(self, norm: str | None) -> list:
+        """Null is among them where an edge of the title's chunks holds it."""
         if norm is None:
             return []
-        own = named.get(norm, set()) | ({norm} if norm in part else set())
-        return [n for n in own if n is not None] if own else fuzzy(norm, False)
-
-    return [sorted(as_entity(n)) for n in asked], [sorted(as_title(n)) for n in titles], part
+        own = self.named.get(norm, set()) | ({norm} if norm in self.nodes else set())
+        return list(own) if own else self._fuzzy(norm, False)
 
 
 def node_set(nodes: list[str], part: dict[str, str]) -> dict:
@@ -146,7 +149,10 @@ def _resolved_batch(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     )
     entity_sets, title_sets, neighbours = [], [], []
     for (edge_chunks, edges), (chunk_ids, chunk_titles), asked, answer, titles in rows:
-        by_entity, by_title, part = resolved(edges, edge_chunks, chunk_ids, chunk_titles, [*asked, answer], titles)
+        part = components_of(edges)
+        names = Names(edges, edge_chunks, chunk_ids, chunk_titles, titles, part)
+        by_entity = [sorted(names.as_entity(n)) for n in (*asked, answer)]
+        by_title = [sorted(n for n in names.as_title(t) if n is not None) for t in titles]
         entity_sets.append([node_set(n, part) for n in by_entity])
         title_sets.append([node_set(n, part) for n in by_title])
         neighbours.append(met_titles(edges, asked, titles, by_title))
@@ -243,3 +249,81 @@ def path_edges(edges: DataFrame, ends: DataFrame, most: int = ROW_PLACES) -> Dat
 
     added = f"hops array<struct<src:string,dst:string,pos:int,from_node:string,to_node:string,edge_id:{kinds['edge_id']},edge_seq:{kinds['edge_seq']}>>"
     return in_rows(rows, work, added, ["items", "ends"])
+
+
+def _reads(edges: list[list], edge_chunks: list, chunk_ids: list, chunk_titles: list, chunk_order: list, targets: list[tuple[list, str | None]], most: int) -> list[dict]:
+    """For each target (norms of its sources, norm of its end): which source resolves first, and the places of up to `most` chunks that mention an end."""
+    at = edges_at(edges)
+    names = Names(edges, edge_chunks, chunk_ids, chunk_titles, [n for own, end in targets for n in (*own, end)], at)
+    order = sorted(range(len(chunk_ids)), key=chunk_order.__getitem__)
+    known: dict = {}
+
+    def nodes(norm: str | None) -> list:
+        if norm not in known:
+            known[norm] = names.as_entity(norm) or names.as_title(norm)
+        return known[norm]
+
+    out = []
+    for own, end in targets:
+        src = next((k for k, n in enumerate(own) if nodes(n)), None)
+        met = set() if src is None else {edge_chunks[k] for n in (*nodes(own[src]), *nodes(end)) for k in at.get(n, ())} - {None}
+        out.append({"source": src, "read": [k for k in order if chunk_ids[k] in met][:most] if met else []})
+    return out
+
+
+def reads(targets: DataFrame, edges: DataFrame, chunks: DataFrame, most_chunks: int, most: int = ROW_PLACES) -> DataFrame:
+    """(graph_id, size, targets): the targets of repair.repair_targets with src and dst of repair.endpoints and, as an array, the chunks of repair.source_chunks.
+
+    Those of graphs of more than `most` places aren't looked up.
+    """
+    ids = targets.select("graph_id").distinct()
+    kept = lambda rows: rows.join(ids, "graph_id", "left_semi")
+    by_edge = gathered(kept(edges.select("graph_id", "chunk_id", "entities")), F.struct("chunk_id", "entities"), F.size("entities"), most)
+    chunk = F.struct("chunk_id", normalize(F.col("title")).alias("title"), "chunk_idx", "sentences", "gold_sentence_offsets")
+    by_chunk = gathered(kept(chunks), chunk, F.lit(1), most)
+    src_norms, dst = F.transform("src_options", normalize).alias("src_norms"), F.get("dst_options", 0)
+    item = F.struct("target_pos", "kind", "src_options", "dst_options", src_norms, normalize(dst).alias("dst_norm"))
+    rows = targets.groupBy("graph_id").agg(F.collect_list(item).alias("targets"))
+    rows = rows.join(by_edge.withColumnsRenamed({"items": "edge_items", "size": "places"}), "graph_id", "left")
+    rows = rows.join(by_chunk.withColumnRenamed("items", "chunk_items"), "graph_id", "left")
+    rows = rows.withColumn("size", F.coalesce(F.greatest("places", "size"), F.lit(0).cast("long"))).drop("places")
+
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        columns = zip(lists(batch.column("edge_items"), 0, 1), lists(batch.column("chunk_items"), 0, 1, 2), lists(batch.column("targets"), 4, 5), strict=True)
+        found = [_reads(entities, at, ids, titles, order, list(zip(*asked, strict=True)), most_chunks) for (at, entities), (ids, titles, order), asked in columns]
+        return {"found": pa.array(found, pa.list_(pa.struct([("source", pa.int32()), ("read", pa.list_(pa.int32()))])))}
+
+    made = in_rows(rows, work, "found array<struct<source:int,read:array<int>>>", ["edge_items"])
+    looked_up = lambda t, f: F.struct(
+        t["target_pos"].alias("target_pos"), t["kind"].alias("kind"), t["src_options"].alias("src_options"), t["dst_options"].alias("dst_options"),
+        F.get(t["src_options"], f["source"]).alias("src"), F.get(t["dst_options"], F.lit(0)).alias("dst"),
+        F.transform(f["read"], lambda k: F.get("chunk_items", k)).alias("read"),
+    )
+    return made.select("graph_id", "size", F.zip_with("targets", "found", looked_up).alias("targets"))
+
+
+def met_edges(edges: DataFrame, starts: DataFrame, hops: int, most: int = ROW_PLACES) -> DataFrame:
+    """(graph_id, size, met): the edges met while walking `hops` rounds from (graph_id, entity_id) starts, as an array with the round of each.
+
+    Graphs of more than `most` places have none.
+    """
+    names = ["edge_id", "edge_seq", "sentence", "entities"]
+    own = gathered(edges.select("graph_id", *names), F.struct(*names), F.size("entities"), most)
+    rows = own.join(starts.groupBy("graph_id").agg(F.collect_set("entity_id").alias("starts")), "graph_id")
+
+    def walk(entities: list[list], front: list[str]) -> list[dict]:
+        at, seen, met = edges_at(entities), set(front), {}
+        for hop in range(1, hops + 1):
+            new = {k for n in front for k in at.get(n, ()) if k not in met}
+            met.update(dict.fromkeys(sorted(new), hop))
+            front = {n for k in new for n in entities[k] if n is not None} - seen
+            seen |= front
+        return [{"k": k, "hop": hop} for k, hop in met.items()]
+
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        met = [walk(entities, front) for (entities,), front in zip(lists(batch.column("items"), 3), batch.column("starts").to_pylist(), strict=True)]
+        return {"met": pa.array(met, pa.list_(pa.struct([("k", pa.int32()), ("hop", pa.int32())])))}
+
+    made = in_rows(rows, work, "met array<struct<k:int,hop:int>>", ["starts"])
+    edge = lambda m: F.struct(*(F.get("items", m["k"])[n].alias(n) for n in names), m["hop"].alias("hop"))
+    return made.select("graph_id", "size", F.transform("met", edge).alias("met"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 from ..operators import audit, components, facts, hypergraph, projection, repair, resolve, rowwise
-from ..operators.shared import cut, stored
+from ..operators.shared import cut, if_small, stored
 
 #: What audit_chains and reports read of a sample.
 READY = ("graph_id", "hop_type", "end", "entities", "titles", "neighbours")
@@ -112,31 +112,50 @@ def names_of(labels: DataFrame, graph: Graph, semantic: bool = False) -> DataFra
     )
 
 
-def repaired(samples: DataFrame, graph: Graph, chains: DataFrame, extractor, most_chunks: int = repair.MAX_CHUNKS, snap: bool = True) -> tuple[DataFrame, DataFrame]:
+def _reads(targets: DataFrame, graph: Graph, most_chunks: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(ends, read) of targets, see repair.endpoints and repair.source_chunks; graphs of up to `most` places in their rows, larger ones by joins."""
+    made = stored(rowwise.reads(targets, graph.edges, graph.chunks, most_chunks, most))
+    each = made.filter(F.col("size") <= most).select("graph_id", F.inline("targets"))
+    ends = each.drop("read")
+    read = each.select("graph_id", "target_pos", F.inline("read")).drop("title")
+    large = made.filter(F.col("size") > most).select("graph_id")
+    if large.isEmpty():
+        return ends, read
+    own, rest = targets.join(large, "graph_id", "left_semi"), graph.only(large)
+    labels = own.select("graph_id", F.explode(F.concat("src_options", "dst_options")).alias("label")).distinct()
+    names = stored(names_of(labels, rest))
+    joined = stored(repair.endpoints(own, names))
+    more = repair.source_chunks(joined, names, rest.places, rest.chunks, most_chunks).select(*read.columns)
+    return ends.unionByName(joined.select(*ends.columns)), stored(read.unionByName(more))
+
+
+def repaired(
+    samples: DataFrame, graph: Graph, chains: DataFrame, extractor, most_chunks: int = repair.MAX_CHUNKS, snap: bool = True, most: int = rowwise.ROW_PLACES
+) -> tuple[DataFrame, DataFrame]:
     """(attempts, edges): what came of each target, and the edges before with those found."""
-    targets = cut(repair.repair_targets(samples, chains))
-    labels = targets.select("graph_id", F.explode(F.concat("src_options", "dst_options")).alias("label")).distinct()
-    names = cut(names_of(labels, graph))
-    ends = cut(repair.endpoints(targets, names))
-    read = cut(repair.source_chunks(ends, names, graph.places, graph.chunks, most_chunks))
+    targets = stored(repair.repair_targets(samples, chains))
+    ends, read = _reads(targets, graph, most_chunks, most)
     asks = read.join(ends.select("graph_id", "target_pos", "src", "dst"), ["graph_id", "target_pos"]).select(
         F.to_json(F.struct("graph_id", "target_pos", "chunk_id")).alias("ask_id"), "graph_id", "target_pos", "chunk_id", "chunk_idx", "sentences",
         "gold_sentence_offsets", "src", "dst", F.concat(F.lit("connect "), "src", F.lit(" to "), "dst").alias("goal"),
     )
     raw = facts.extract_targeted(asks, extractor)
     checked = facts.checked_facts(asks.join(raw, "ask_id").select(F.col("ask_id").alias("chunk_id"), "raw", "sentences"))
-    typed = cut(facts.facts_from(checked).withColumnRenamed("chunk_id", "ask_id").join(asks.drop("src", "dst", "goal"), "ask_id"))
-    if snap:
+    typed = stored(facts.facts_from(checked).withColumnRenamed("chunk_id", "ask_id").join(asks.drop("src", "dst", "goal"), "ask_id"))
+    # only graphs for which facts came back have edges to compare with and nodes to tie them to
+    some = not typed.isEmpty()
+    known = graph.only(if_small(typed.select("graph_id").distinct()))
+    if snap and some:
         each = typed.select("graph_id", F.struct("ask_id", "fact_pos").alias("fact_id"), F.posexplode("raw_entities").alias("pos", "label"))
-        hits = resolve.resolve_entities(each.select("graph_id", "label").distinct(), graph.nodes)
+        hits = resolve.resolve_entities(each.select("graph_id", "label").distinct(), known.nodes)
         hits = each.select("graph_id", "label").distinct().withColumn("norm", normalize(F.col("label"))).join(hits, ["graph_id", "norm"]).select("graph_id", "label", "entity_id")
-        tied = hypergraph.snapped(each, graph.nodes.select("graph_id", "entity_id"), hits)
+        tied = hypergraph.snapped(each, known.nodes.select("graph_id", "entity_id"), hits)
         tied = tied.groupBy("graph_id", "fact_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity"))), lambda x: x["entity"]).alias("tied"))
         typed = typed.withColumn("fact_id", F.struct("ask_id", "fact_pos")).join(tied, ["graph_id", "fact_id"]).withColumn("raw_entities", F.col("tied")).drop("tied", "fact_id")
     # places after those of the first extraction, in the order of targets
     order = F.expr("1000000 * (1 + target_pos) + chunk_idx").cast("int")
     found = hypergraph.hyperedges(typed.withColumn("chunk_idx", order))
-    fresh = cut(repair.new_edges(found, graph.edges))
+    fresh = stored(repair.new_edges(found, known.edges if some else found))
     added = fresh.select("graph_id", (F.expr("edge_seq.chunk_idx div 1000000") - 1).cast("int").alias("target_pos"))
     return repair.attempts(ends, read, added), graph.edges.unionByName(fresh)
 
