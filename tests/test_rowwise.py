@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import audit, facts, hypergraph, rowwise
+from weftgraph.operators import audit, facts, hypergraph, retrieve, rowwise
 from weftgraph.plans import flows, queries
 
 from test_audit import CHUNK, SAMPLE
@@ -72,6 +72,19 @@ def test_repair_in_rows_reads_what_joins_read(spark):
     assert ids(rows[1]) == ids(joins[1])
 
 
+def test_walks_score_what_they_can_meet(spark):
+    names = [chr(97 + k // 8) + str(k % 8) for k in range(64)]
+    rng = random.Random(6)
+    said = [(g, c, 0, f"c{c}", [a := rng.choice(names), b := rng.choice(names)], "r", 0, 1.0, [f"{a} and {b}"], []) for g in range(6) for c in range(40)]
+    edges = hypergraph.hyperedges(spark.createDataFrame(said, FACT))
+    starts = edges.groupBy("graph_id").agg(F.min(F.array_min("entities")).alias("entity_id"))
+    samples = spark.createDataFrame([(g, f"who is {names[g]} and {names[9 * g]}?") for g in range(6)], "graph_id int, question string")
+    both = [flows.scored_walks(samples, edges.select("graph_id", "edge_id", "edge_seq", "sentence", "entities"), starts, most) for most in (20_000, 0)]
+    assert both[0][0].count() < both[1][0].count() == edges.count()
+    found = [[sorted(map(str, x.collect())) for x in (retrieve.graph_evidence(*own), retrieve.guided_evidence(own[0], starts, least=0.0))] for own in both]
+    assert found[0] == found[1] and all(found[0])
+
+
 def test_paths_in_rows_are_those_of_joins(spark):
     rng = random.Random(4)
     said = [(g, c, 0, f"c{c}", [rng.choice([*map(str, range(12)), None]) for _ in range(rng.randrange(2, 5))], "r", 0, 1.0, ["x"], rng.choice([[0], []])) for g in range(25) for c in range(rng.randrange(1, 12))]

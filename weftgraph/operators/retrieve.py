@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .rowwise import in_rows, lists
 from .vectors import cosine, encode, hashing_encoder, top_k
 
 TOP_K, MAX_HOPS, OVERRETRIEVE = 8, 2, 20
@@ -74,14 +75,13 @@ def beam_search(
     the chosen edges newly reach. One graph, a sample, is walked in one task.
     """
 
-    def walk(edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        graph = (edges["graph_id"] if len(edges) else own["graph_id"]).iloc[0]
+    def walk(edges: list[tuple], own: list) -> list[tuple]:
         score, members, at = {}, {}, {}
-        for edge, value, names in zip(edges["edge_id"], edges["score"], edges["entities"], strict=True):
-            score[edge], members[edge] = value, list(names)
+        for edge, value, names in edges:
+            score[edge], members[edge] = value, names
             for name in dict.fromkeys(names):
                 at.setdefault(name, []).append(edge)
-        front, seen, taken = sorted(set(own["entity_id"])), set(), []
+        front, seen, taken = sorted(set(own)), set(), []
         visited = set(front)
         for _ in range(hops):
             open_edges = [(score[e], e) for node in front for e in at.get(node, ()) if e not in seen]
@@ -95,17 +95,17 @@ def beam_search(
                 fresh = [n for n in dict.fromkeys(members[edge]) if n not in visited]
                 visited.update(fresh)
                 front += fresh
-        taken.sort(reverse=True)
-        return pd.DataFrame(
-            [(graph, i, e, s) for i, (s, e) in enumerate(taken)], columns=["graph_id", "place", "edge_id", "score"]
-        )
-
-    kind = dict(scored.dtypes)["graph_id"]
-    edges = scored.select("graph_id", "edge_id", "score", "entities")
-    own = starts.select("graph_id", "entity_id").toDF("graph_id", "entity_id")  # new attributes: both sides may stem from one table
-    return edges.groupBy("graph_id").cogroup(own.groupBy("graph_id")).applyInPandas(
-        walk, f"graph_id {kind}, place long, edge_id string, score double"
-    )
+        return sorted(taken, reverse=True)
+
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        rows = zip(lists(batch.column("items"), 0, 1, 2), batch.column("starts").to_pylist(), strict=True)
+        taken = [[{"place": i, "edge_id": e, "score": s} for i, (s, e) in enumerate(walk(list(zip(*edges, strict=True)), own))] for edges, own in rows]
+        return {"taken": pa.array(taken, pa.list_(pa.struct([("place", pa.int64()), ("edge_id", pa.string()), ("score", pa.float64())])))}
+
+    edges = scored.groupBy("graph_id").agg(F.collect_list(F.struct("edge_id", "score", "entities")).alias("items"))
+    own = starts.groupBy("graph_id").agg(F.collect_list("entity_id").alias("starts"))
+    made = in_rows(edges.join(own, "graph_id"), work, "taken array<struct<place:long,edge_id:string,score:double>>", ["items", "starts"])
+    return made.select("graph_id", F.inline("taken"))
 
 
 def guided_evidence(scored: DataFrame, starts: DataFrame, k: int = TOP_K, **walk) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
-from ..operators import audit, components, facts, hypergraph, projection, repair, resolve, rowwise
+from ..operators import audit, components, facts, hypergraph, projection, repair, resolve, retrieve, rowwise
 from ..operators.shared import cut, if_small, stored
 
 #: What audit_chains and reports read of a sample.
@@ -160,6 +160,26 @@ def repaired(
     return repair.attempts(ends, read, added), graph.edges.unionByName(fresh)
 
 
+def scored_walks(samples: DataFrame, edges: DataFrame, starts: DataFrame, most: int = rowwise.ROW_PLACES) -> tuple[DataFrame, DataFrame]:
+    """(scored, near): the edges that a walk from (graph_id, entity_id) starts can meet, see retrieve.scored_edges, and those of the neighbourhood.
+
+    A guided walk reads no edge beyond GUIDED_HOPS rounds, so the others aren't
+    scored. Graphs of up to `most` places are walked in their rows, of larger
+    ones every edge is scored.
+    """
+    columns = ("graph_id", "edge_id", "edge_seq", "sentence", "entities", "hop")
+    made = stored(rowwise.met_edges(edges, starts, retrieve.GUIDED_HOPS, most))
+    met, large = made.filter(F.col("size") <= most).select("graph_id", F.inline("met")), made.filter(F.col("size") > most).select("graph_id")
+    if not large.isEmpty():
+        rest = edges.join(large, "graph_id", "left_semi")
+        places = rest.select("graph_id", "edge_id", F.explode("entities").alias("entity_id"))
+        near = retrieve.khop_edges(starts.join(large, "graph_id", "left_semi"), places).withColumn("near", F.lit(1))
+        hop = F.coalesce("near", F.lit(retrieve.MAX_HOPS + 1)).alias("hop")
+        met = stored(met.select(*columns).unionByName(rest.join(near, ["graph_id", "edge_id"], "left").select(*columns[:-1], hop)))
+    scored = stored(retrieve.scored_edges(samples, met))
+    return scored, met.filter(F.col("hop") <= retrieve.MAX_HOPS).select("graph_id", "edge_id")
+
+
 def repair_validation(samples: DataFrame, graph: Graph, extractor) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reports before, reports after, attempts) of the repairable samples."""
     before, chains = audit_reports(samples, graph)

@@ -720,10 +720,11 @@ def q76_repaired_contexts(spark, sf):
     samples, graph, reports, chains = _audited(spark, sf)
     broken = reports.filter("is_repairable").select(F.col("sample_id").alias("graph_id"))
     own, lines = samples.join(broken, "graph_id", "left_semi"), chains.join(broken, "graph_id", "left_semi")
-    edges = flows.cut(flows.repaired(own, graph, lines, facts.RuleExtractor())[1])
-    scored = retrieve.scored_edges(samples, edges)
-    near = retrieve.khop_edges(_starts(edges), hypergraph.incidence(edges))
-    return retrieve.contexts(samples, {"graph_repair": retrieve.graph_evidence(scored, near), "graph_guided_repair": retrieve.guided_evidence(scored, _starts(edges))})
+    found = flows.repaired(own, graph, lines, facts.RuleExtractor())[1]
+    edges = flows.stored(found.select("graph_id", "edge_id", "edge_seq", "sentence", "entities"))
+    starts = edges.groupBy("graph_id").agg(F.min(F.array_min("entities")).alias("entity_id"))
+    scored, near = flows.scored_walks(samples, edges, starts)
+    return retrieve.contexts(samples, {"graph_repair": retrieve.graph_evidence(scored, near), "graph_guided_repair": retrieve.guided_evidence(scored, starts)})
 
 
 @query(f"""with {O.ORDERS}, x as (select g, ok, row_number() over (partition by g order by ok) as n from e where ok % 3 > 0) select g as graph_id, ok from x where n <= {repair.MAX_EDGES}""")
