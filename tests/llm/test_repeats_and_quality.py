@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -101,6 +102,32 @@ def test_run_index_finds_the_first_place(seed):
     assert len(index.heads) == len(index.samples) == len(index.keys) < len(data)
 
 
+def test_an_index_takes_little_memory():
+    rng = random.Random(1)
+    words = [rng.randbytes(140) for _ in range(300)]
+    rows = [(k, 0, 0, rng.choice(words)[: rng.randrange(100, 141)] + rng.randbytes(30)) for k in range(4000)]
+    tracemalloc.start()
+    assert list(repeats.indexed_repeats([rows], 100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110 * sum(len(r[3]) for r in rows)  # 146 before
+
+
+def test_segments_are_handed_over_in_small_batches():
+    best, rng = repeats.Best(), random.Random(2)
+    found = {}
+    for k in range(40_000):
+        own, now = b"%d" % rng.randrange(20_000), (k % 7 - 3, rng.randrange(-5, 5), k, -k)
+        old = found.get(own)
+        found[own] = min(now, old or now)
+        assert best.take(own, now) == (max(now, old) if old else None)
+        assert best.take(own, found[own]) is None  # the row is there twice
+    batches = list(best.flushed())
+    assert len(best) == 0 and max(b.num_rows for b in batches) == repeats.HANDED
+    got = {r["segment"]: (r["doc_id"], r["part"], r["begin"], r["anchor"]) for b in batches for r in b.to_pylist()}
+    assert got == found and sum(b.num_rows for b in batches) == len(found)
+
+
 def test_the_transform_decides():
     phrases = phrases_of(1)
     index = repeats.RunIndex(phrases, 100)

@@ -26,8 +26,10 @@ text, then by start.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ GRAM = 32
 FILTER_BITS = 29
 #: Bytes of text hashed at once; a longer text is taken in pieces.
 PIECE = 1 << 19
+#: Rows of a batch that are turned into Python's values at once, and rows of a batch that is handed back.
+TAKEN, HANDED = 1_000, 8_192
 #: Bytes of segments indexed at once, and occurrences of an anchor from which its strings go one by one.
 INDEX_BYTES, HOT = 1 << 21, 20_000
 _PLACE = np.uint64((1 << 20) - 1)
@@ -139,9 +143,15 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TAKEN):
+            yield batch.slice(at, TAKEN)
+
+
 def _hashes(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in batches:
+        for batch in _taken(batches):
             for data, ends, _ in pieces(_bytes(batch.column(0)), length):
                 *_, base, left, right = segments(np.frombuffer(data, np.uint8), ends, length)
                 yield np.concatenate([base, left[left > 0], right[right > 0]])
@@ -165,25 +175,33 @@ class RunIndex:
         self.starts = np.cumsum(sizes + 1) - sizes - 1
         raw = np.frombuffer(b"\0".join(phrases) + b"\0" * 9, np.uint8)
         self.rows = int(sizes.sum()) + len(sizes)
-        left = np.repeat(self.starts + sizes, sizes + 1) - np.arange(self.rows)
-        text = np.where(left > 0, raw[: self.rows].astype(np.int64) + 1, 0)  # 0 ends a phrase
+        # rows are few enough for the narrowest types, as several columns of them stand in memory together
+        self.kind = np.int32 if self.rows < 1 << 31 else np.int64
+        left = np.repeat((self.starts + sizes).astype(self.kind), sizes + 1)
+        left -= np.arange(self.rows, dtype=self.kind)
         near, far = self._ranks(raw, left, length)
-        order = np.argsort(far, kind="stable")
-        before = np.where(order > 0, text[order - 1], 0)
-        context, around = far[order], near[order]
+        order = np.argsort(far, kind="stable").astype(self.kind)
+        text = raw[: self.rows].astype(np.int16) + np.int16(1)
+        text[left == 0] = 0  # 0 ends a phrase
+        before = text[order - 1]
+        before[order == 0] = 0
+        del text, left
+        ranked = far[order]
         fresh = np.ones(self.rows, bool)  # a context's first row begins a run, so its least place is sampled
-        fresh[1:] = context[1:] != context[:-1]
+        fresh[1:] = ranked[1:] != ranked[:-1]
         breaks = fresh.copy()
         breaks[1:] |= before[1:] != before[:-1]
+        ranked = near[order]
         wide = np.ones(self.rows, bool)
-        wide[1:] = around[1:] != around[:-1]
+        wide[1:] = ranked[1:] != ranked[:-1]
+        del near, far, ranked
         run_starts = np.flatnonzero(breaks)
-        self.heads = before[run_starts]
+        self.heads = before[run_starts].astype(np.int64)
         self.samples = order[run_starts]
         # contexts: their first runs, and the first row of all contexts that share length - 1 bytes with them
         firsts = np.flatnonzero(fresh)
         self.context_run = np.searchsorted(run_starts, firsts)
-        self.shared_from = np.maximum.accumulate(np.where(wide, np.arange(self.rows), 0))[firsts]
+        self.shared_from = np.maximum.accumulate(np.where(wide, np.arange(self.rows, dtype=self.kind), self.kind(0)))[firsts]
         # runs by byte, then row: those before one, in all, are where its byte and context begin
         by_byte = np.lexsort((run_starts, self.heads))
         self.keys = self.heads[by_byte] * (self.rows + 1) + run_starts[by_byte]
@@ -194,19 +212,34 @@ class RunIndex:
     @staticmethod
     def _ranks(raw: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of the next length - 1 and `length` bytes at each place, cut where the phrase ends; by doubling."""
-        size, n = 8, len(left)
+        size, n, kind = 8, len(left), left.dtype
+        short = np.minimum(left, 8).astype(np.int8)
         word = np.ndarray((n,), ">u8", raw, 0, (1,)).astype(np.uint64)
-        short = np.minimum(left, 8)
-        word &= ~np.where(short < 8, (np.uint64(1) << (64 - 8 * np.maximum(short, 1)).astype(np.uint64)) - np.uint64(1), np.uint64(0))
-        word[short == 0] = 0
-        rank = np.unique(word, return_inverse=True)[1].astype(np.int64) * 9 + short
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+        word &= np.array([0, *(2**64 - 2 ** (64 - 8 * k) for k in range(1, 9))], np.uint64)[short]
+
+        def ranks(keys: np.ndarray) -> np.ndarray:
+            """Ranks of `keys`, which is sorted in place."""
+            order = np.argsort(keys, kind="stable").astype(kind)
+            keys.sort(kind="stable")
+            steps = np.zeros(n, kind)
+            np.cumsum(keys[1:] != keys[:-1], out=steps[1:])
+            out = np.empty(n, kind)
+            out[order] = steps
+            return out
+
+        rank = ranks(word).astype(np.int64)
+        del word
+        rank *= 9
+        rank += short
+        rank = ranks(rank)
 
         def joined(step: int) -> np.ndarray:
-            after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1
-            after[left <= step] = 0
-            return np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
+            keys = rank.astype(np.int64)
+            keys *= n + 1
+            after = rank[step:] + kind.type(1)
+            after[left[: max(0, n - step)] <= step] = 0
+            keys[: n - step] += after
+            return ranks(keys)
 
         while 2 * size < length:
             rank = joined(size)
@@ -242,9 +275,11 @@ def indexed_repeats(group: list[list[tuple]], length: int) -> Iterator[tuple]:
     rows = [r for g in group for r in g]
     phrases = [r[3] for r in rows]
     index = RunIndex(phrases, length)
-    found = [(index.starts[who] + at, first) for who, at, first in index.stream(phrases)]
-    places, first = (np.concatenate(x) for x in zip(*found, strict=True))
-    again = np.sort(places[first < places])
+    found = []
+    for who, at, first in index.stream(phrases):
+        places = index.starts[who] + at
+        found.append(places[first < places])
+    again = np.sort(np.concatenate(found))
     if not len(again):
         return
     owner = np.searchsorted(index.starts, again, "right") - 1
@@ -265,6 +300,42 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
 
+class Best:
+    """The first place of each segment, as four numbers of one array."""
+
+    def __init__(self):
+        self.rows, self.places = {}, array("q")
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def place(self, row: int) -> tuple:
+        return tuple(self.places[4 * row : 4 * row + 4])
+
+    def take(self, own: bytes, now: tuple) -> tuple | None:
+        """Keeps the earlier of the place known and (doc_id, part, begin, anchor) `now`; gives the other, None if there is none."""
+        row = self.rows.setdefault(own, len(self.rows))
+        if 4 * row == len(self.places):
+            self.places.extend(now)
+            return None
+        old = self.place(row)
+        if now == old:  # the row is there twice
+            return None
+        if now < old:
+            self.places[4 * row : 4 * row + 4] = array("q", now)
+            return old
+        return now
+
+    def flushed(self) -> Iterator[pa.RecordBatch]:
+        """All segments, in batches, and then none are left."""
+        rows, places = self.rows, self.places
+        self.rows, self.places = {}, array("q")
+        segments, at = iter(rows), 0
+        while own := list(islice(segments, HANDED)):
+            yield _batch([(places[k + 3], places[k], places[k + 1], places[k + 2], places[k + 2] + len(x), x) for k, x in zip(range(at, at + 4 * len(own), 4), own, strict=True)])
+            at += 4 * len(own)
+
+
 def _cut_out(docs: DataFrame, length: int, bits: int, hot: int) -> DataFrame:
     """Segments that pass the filter, a task's first places only; rows without a segment are repeats."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -274,14 +345,9 @@ def _cut_out(docs: DataFrame, length: int, bits: int, hot: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = shared.value
         bitmap, hot_ones = met.bitmap(), set(met.hot.tolist())
-        best: dict[bytes, tuple] = {}
+        best = Best()
         out: list[tuple] = []
 
-        def flushed() -> list[tuple]:
-            rows = [(a, d, p, b, b + len(s), s) for s, (d, p, b, a) in best.items()]
-            best.clear()
-            return rows
-
         def repeat(anchor: int, doc: int, part: int, begin: int, end: int) -> None:
             if out and out[-1][1:3] == (doc, part) and out[-1][3] <= begin <= out[-1][4]:
                 out[-1] = (*out[-1][:4], max(end, out[-1][4]), None)
@@ -289,17 +355,10 @@ def _cut_out(docs: DataFrame, length: int, bits: int, hot: int) -> DataFrame:
                 out.append((anchor, doc, part, begin, end, None))
 
         def take(own: bytes, now: tuple) -> None:
-            old = best.get(own)
-            if old is None:
-                best[own] = now
-                return
-            if now == old:  # the row is there twice
-                return
-            if now < old:
-                best[own], now = now, old
-            repeat(now[3], now[0], now[1], now[2], now[2] + len(own))
+            if (now := best.take(own, now)) is not None:
+                repeat(now[3], now[0], now[1], now[2], now[2] + len(own))
 
-        for batch in batches:
+        for batch in _taken(batches):
             doc_ids, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for data, ends, owners in pieces(_bytes(batch.column(2)), length):
                 first, last, at, base, left, right = segments(np.frombuffer(data, np.uint8), ends, length)
@@ -321,12 +380,13 @@ def _cut_out(docs: DataFrame, length: int, bits: int, hot: int) -> DataFrame:
                     else:
                         take(data[s : e + length], (doc_ids[text], parts[text], begin, anchor))
                 if len(best) > 300_000:
-                    out += flushed()
-            if out:
-                yield _batch(out)
-                out = []
-        if best:
-            yield _batch(flushed())
+                    yield from best.flushed()
+                for at in range(0, len(out) - HANDED + 1, HANDED):
+                    yield _batch(out[at : at + HANDED])
+                del out[: len(out) // HANDED * HANDED]
+        if out:
+            yield _batch(out)
+        yield from best.flushed()
 
     return docs.select("doc_id", "part", "text").mapInArrow(scan, _SEGMENTS)
 
@@ -362,7 +422,10 @@ def _resolve(cut_out: DataFrame, length: int, index_bytes: int) -> DataFrame:
                     size += close()
                     firsts, anchor = {}, a
                     if size > index_bytes:
-                        out += indexed_repeats(waiting, length)
+                        # the group that is too much beside the others gets an index of its own
+                        for groups in (waiting[:-1], waiting[-1:]):
+                            if groups:
+                                out += indexed_repeats(groups, length)
                         waiting, size = [], 0
                 place = firsts.setdefault(segment, (doc, part, begin))
                 if place != (doc, part, begin):
@@ -416,7 +479,7 @@ def remove_repeats(docs: DataFrame, **more) -> DataFrame:
     joined = keyed.join(listed, (F.col("key") == F.col("of")) & (F.col("part") == F.col("of_part")), "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _taken(batches):
             rows = []
             for text, found in zip(_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 gone = merged([(s["begin"], s["end"]) for s in found or ()])

@@ -41,7 +41,11 @@ class Twice:
         self.blobs, self.hot, self.slices = blobs, hot, len(blobs)
 
     def bitmap(self) -> np.ndarray:
-        return np.frombuffer(b"".join(map(zlib.decompress, self.blobs)), np.uint8)
+        size = len(zlib.decompress(self.blobs[0]))
+        out = np.empty(size * self.slices, np.uint8)
+        for k, blob in enumerate(self.blobs):
+            out[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(blob), np.uint8)
+        return out
 
     def values(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - _value_bits(self.slices))
@@ -73,7 +77,14 @@ def twice(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator
         held, count = [], 0
 
         def packed() -> pa.RecordBatch:
-            values, times = np.unique(np.concatenate(held) >> np.uint64(64 - value_bits), return_counts=True)
+            values = np.concatenate(held)
+            held.clear()
+            values >>= np.uint64(64 - value_bits)
+            values.sort()
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+            times = np.diff(first, append=len(values))
+            values = values[first]
+            del first
             cuts = np.searchsorted(values, np.arange(1, slices, dtype=np.uint64) * np.uint64(per_slice))
             times = np.minimum(times, 65535).astype(np.uint16)
             seen, often = [], []
