@@ -60,6 +60,23 @@ def test_queries_leave_little_on_disk(spark, name, rows):
     assert size() - before < 2 * tables
 
 
+def test_rollup_deals_keys_not_texts(spark):
+    flows.stored(spark.range(1))
+    folder, sc = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")), spark.sparkContext
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
+
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before, known = size(), shuffled()
+    assert queries.QUERIES["q35_corpus_rollup"](spark, DATA).count() == 23
+    tables = sum(Path(DATA, f"{t}.parquet").stat().st_size for t in ("customer", "orders", "lineitem"))
+    assert size() - before < 0.33 * tables  # 0.41 with texts, 0.26 without
+    assert sum(n for k, n in shuffled().items() if k not in known) < 3.1 * tables  # 3.47 with texts, 2.79 without
+
+
 def test_repair_in_rows_reads_what_joins_read(spark):
     samples, edges, chunks = odd_graphs(spark, 5)
     chunks = chunks.withColumn("sentences", F.transform("sentences", lambda x: F.replace(F.initcap(x), F.lit("Met"), F.lit("met")))).filter("graph_id % 7 <> 0")  # unique ids

@@ -286,7 +286,8 @@ def q27_pair_titles(spark, sf):
 
 
 def _audited(spark, sf):
-    chunks = flows.stored(A.order_chunks(spark, sf)).repartition("graph_id")  # edges, samples and the audit gather by graph
+    # edges, samples and the audit gather by graph; keys are stored and dealt, and names and sentences are made of them behind that
+    chunks = A.chunks_of(flows.stored(A.order_keys(spark, sf)).repartition("o_custkey"))
     graph = flows.Graph(A.order_edges(chunks), chunks)
     samples = flows.stored(A.audit_samples(spark, sf, chunks))
     reports, chains = flows.audit_reports(samples, graph)
