@@ -102,6 +102,20 @@ def test_walks_score_what_they_can_meet(spark):
     assert found[0] == found[1] and all(found[0])
 
 
+def test_vectors_of_questions_are_not_broadcast(spark, monkeypatch):
+    said = [(g, c, 0, f"c{c}", ["a", "b"] if c else ["b", "c"], "r", 0, 1.0, [None if g == 2 else f"{'a meets b' if c else 'c'} of {g}"], []) for g in range(4) for c in range(2)]
+    edges = hypergraph.hyperedges(spark.createDataFrame(said, FACT)).select("graph_id", "edge_id", "edge_seq", "sentence", "entities")
+    samples = spark.createDataFrame([(0, "a of 0?"), (1, "what is b of 1?"), (2, "b a"), (3, None)], "graph_id int, question string")
+    starts = spark.createDataFrame([(g, "a") for g in range(4)], "graph_id int, entity_id string")
+    plans, real = [], flows.stored
+    monkeypatch.setattr(flows, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    scores = [sorted((r.graph_id, r.edge_id, r.score) for r in flows.scored_walks(samples, edges, starts, most)[0].collect()) for most in (20_000, 0)]
+    assert scores[0] == scores[1] and len(scores[0]) == 8 and len({s for *_, s in scores[0]}) > 3
+    assert not [p for p in plans if "ArrowEvalPython" in p and "BroadcastHashJoin" in p]
+    met = next(p for p in plans if "MapInArrow" in p)
+    assert "BroadcastHashJoin" not in met and "encode" not in met
+
+
 def test_paths_in_rows_are_those_of_joins(spark):
     rng = random.Random(4)
     said = [(g, c, 0, f"c{c}", [rng.choice([*map(str, range(12)), None]) for _ in range(rng.randrange(2, 5))], "r", 0, 1.0, ["x"], rng.choice([[0], []])) for g in range(25) for c in range(rng.randrange(1, 12))]

@@ -44,7 +44,8 @@ def khop_edges(starts: DataFrame, places: DataFrame, hops: int = MAX_HOPS) -> Da
 
 def scored_edges(questions: DataFrame, edges: DataFrame, encoder=hashing_encoder) -> DataFrame:
     """(graph_id, edge_id, edge_seq, sentence, entities, score): each edge's sentence against its graph's question."""
-    asked = questions.select("graph_id", encode(F.col("question"), encoder).alias("q"))
+    # where sizes are estimated a vector counts as one number: without the hint, vectors of any number of questions would be broadcast
+    asked = questions.select("graph_id", encode(F.col("question"), encoder).alias("q")).hint("merge")
     own = edges.select("graph_id", "edge_id", "edge_seq", "sentence", "entities", encode(F.coalesce("sentence", F.lit("")), encoder).alias("v"))
     return own.join(asked, "graph_id").select("graph_id", "edge_id", "edge_seq", "sentence", "entities", cosine(F.col("q"), F.col("v")).alias("score"))
 

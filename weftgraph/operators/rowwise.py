@@ -6,9 +6,11 @@ row has the size and empty lists, and is left to the joins of the other operator
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +19,11 @@ from pyspark.sql import types as T
 from ..functions.text import grounded, normalize
 from .audit import SET, empty, no_set
 from .resolve import MIN_FUZZY_LENGTH
+from .vectors import hashing_encoder
 
 ROW_PLACES = 20_000
+#: Sentences that are encoded and scored at once.
+SCORED = 2_048
 #: White space as `(?U)\s` has it; Python's own has four control characters more.
 SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SET_TYPE = pa.struct([("entities", pa.list_(pa.string())), ("parts", pa.list_(pa.struct([(n, pa.string()) for n in ("component", "lo", "hi")])))])
@@ -302,28 +307,53 @@ def reads(targets: DataFrame, edges: DataFrame, chunks: DataFrame, most_chunks:
     return made.select("graph_id", "size", F.zip_with("targets", "found", looked_up).alias("targets"))
 
 
-def met_edges(edges: DataFrame, starts: DataFrame, hops: int, most: int = ROW_PLACES) -> DataFrame:
-    """(graph_id, size, met): the edges met while walking `hops` rounds from (graph_id, entity_id) starts, as an array with the round of each.
+def _scores(questions: list, sentences: list[list], encoder) -> list[float]:
+    """The vectors.cosine of each question with its own sentences, one after the other."""
+    pairs = [(g, text or "") for g, own in enumerate(sentences) for text in own]
+    out: list[float] = []
+    for at in range(0, len(pairs), SCORED):
+        own = pairs[at : at + SCORED]
+        asked = {g: k for k, g in enumerate(dict.fromkeys(g for g, _ in own))}
+        q, v = (np.asarray(encoder(texts), np.float32).astype(np.float64) for texts in ([questions[g] or "" for g in asked], [text for _, text in own]))
+        # summed from first to last, as the column does, so that equal scores stay equal
+        out += (np.cumsum(q[[asked[g] for g, _ in own]] * v, axis=1)[:, -1] + 0.0).tolist()
+    return out
 
-    Graphs of more than `most` places have none.
+
+def met_edges(questions: DataFrame, edges: DataFrame, starts: DataFrame, hops: int, most: int = ROW_PLACES, encoder=hashing_encoder) -> DataFrame:
+    """(graph_id, size, met): the edges met while walking `hops` rounds from (graph_id, entity_id) starts, as an array with the round of each and its score of retrieve.scored_edges.
+
+    Graphs of more than `most` places have none. No vector leaves its task.
     """
     names = ["edge_id", "edge_seq", "sentence", "entities"]
     own = gathered(edges.select("graph_id", *names), F.struct(*names), F.size("entities"), most)
-    rows = own.join(starts.groupBy("graph_id").agg(F.collect_set("entity_id").alias("starts")), "graph_id")
+    # the estimate of a stored table's size knows its compressed bytes alone, so that sides of any number of rows would be broadcast
+    asked = starts.groupBy("graph_id").agg(F.collect_set("entity_id").alias("starts")).join(questions.select("graph_id", "question").hint("merge"), "graph_id")
+    rows = own.join(asked.hint("merge"), "graph_id")
+    kinds = {n: edges.schema[n].dataType.simpleString() for n in names}
 
-    def walk(entities: list[list], front: list[str]) -> list[dict]:
+    def walk(entities: list[list], front: list[str]) -> dict[int, int]:
         at, seen, met = edges_at(entities), set(front), {}
         for hop in range(1, hops + 1):
             new = {k for n in front for k in at.get(n, ()) if k not in met}
             met.update(dict.fromkeys(sorted(new), hop))
             front = {n for k in new for n in entities[k] if n is not None} - seen
             seen |= front
-        return [{"k": k, "hop": hop} for k, hop in met.items()]
+        return met
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        met = [walk(entities, front) for (entities,), front in zip(lists(batch.column("items"), 3), batch.column("starts").to_pylist(), strict=True)]
-        return {"met": pa.array(met, pa.list_(pa.struct([("k", pa.int32()), ("hop", pa.int32())])))}
-
-    made = in_rows(rows, work, "met array<struct<k:int,hop:int>>", ["starts"])
-    edge = lambda m: F.struct(*(F.get("items", m["k"])[n].alias(n) for n in names), m["hop"].alias("hop"))
-    return made.select("graph_id", "size", F.transform("met", edge).alias("met"))
+        column, places, rounds, ends, first = batch.column("items"), [], [], [0], 0
+        for (entities,), front in zip(lists(column, 3), batch.column("starts").to_pylist(), strict=True):
+            met = walk(entities, front)
+            places += [first + k for k in met]
+            rounds += met.values()
+            ends.append(len(places))
+            first += len(entities)
+        taken = column.flatten().take(pa.array(places, pa.int64()))
+        said = taken.field(2).to_pylist()
+        scores = _scores(batch.column("question").to_pylist(), [said[a:b] for a, b in itertools.pairwise(ends)], encoder)
+        columns = [*(taken.field(k) for k in range(len(names))), pa.array(rounds, pa.int32()), pa.array(scores, pa.float64())]
+        return {"met": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, [*names, "hop", "score"]))}
+
+    item = ",".join(f"{n}:{kinds[n]}" for n in names)
+    return in_rows(rows, work, f"met array<struct<{item},hop:int,score:double>>", ["items", "starts", "question"])

@@ -157,27 +157,26 @@ def repaired(
     found = hypergraph.hyperedges(typed.withColumn("chunk_idx", order))
     fresh = stored(repair.new_edges(found, known.edges if some else found))
     added = fresh.select("graph_id", (F.expr("edge_seq.chunk_idx div 1000000") - 1).cast("int").alias("target_pos"))
-    return repair.attempts(ends, read, added), graph.edges.unionByName(fresh)
+    return repair.attempts(ends, read, added), graph.edges.unionByName(fresh) if some else graph.edges
 
 
 def scored_walks(samples: DataFrame, edges: DataFrame, starts: DataFrame, most: int = rowwise.ROW_PLACES) -> tuple[DataFrame, DataFrame]:
     """(scored, near): the edges that a walk from (graph_id, entity_id) starts can meet, see retrieve.scored_edges, and those of the neighbourhood.
 
     A guided walk reads no edge beyond GUIDED_HOPS rounds, so the others aren't
-    scored. Graphs of up to `most` places are walked in their rows, of larger
-    ones every edge is scored.
+    scored. Graphs of up to `most` places are walked and scored in their rows, of
+    larger ones every edge is scored.
     """
-    columns = ("graph_id", "edge_id", "edge_seq", "sentence", "entities", "hop")
-    made = stored(rowwise.met_edges(edges, starts, retrieve.GUIDED_HOPS, most))
+    columns = ("graph_id", "edge_id", "edge_seq", "sentence", "entities", "score")
+    made = stored(rowwise.met_edges(samples, edges, starts, retrieve.GUIDED_HOPS, most))
     met, large = made.filter(F.col("size") <= most).select("graph_id", F.inline("met")), made.filter(F.col("size") > most).select("graph_id")
-    if not large.isEmpty():
-        rest = edges.join(large, "graph_id", "left_semi")
-        places = rest.select("graph_id", "edge_id", F.explode("entities").alias("entity_id"))
-        near = retrieve.khop_edges(starts.join(large, "graph_id", "left_semi"), places).withColumn("near", F.lit(1))
-        hop = F.coalesce("near", F.lit(retrieve.MAX_HOPS + 1)).alias("hop")
-        met = stored(met.select(*columns).unionByName(rest.join(near, ["graph_id", "edge_id"], "left").select(*columns[:-1], hop)))
-    scored = stored(retrieve.scored_edges(samples, met))
-    return scored, met.filter(F.col("hop") <= retrieve.MAX_HOPS).select("graph_id", "edge_id")
+    scored, near = met.select(*columns), met.filter(F.col("hop") <= retrieve.MAX_HOPS).select("graph_id", "edge_id")
+    if large.isEmpty():
+        return scored, near
+    rest = stored(edges.join(large, "graph_id", "left_semi"))
+    places = rest.select("graph_id", "edge_id", F.explode("entities").alias("entity_id"))
+    more = stored(retrieve.khop_edges(starts.join(large, "graph_id", "left_semi"), places))
+    return scored.unionByName(stored(retrieve.scored_edges(samples, rest).select(*columns))), near.unionByName(more)
 
 
 def repair_validation(samples: DataFrame, graph: Graph, extractor) -> tuple[DataFrame, DataFrame, DataFrame]:

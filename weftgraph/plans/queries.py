@@ -722,8 +722,8 @@ def q76_repaired_contexts(spark, sf):
     broken = reports.filter("is_repairable").select(F.col("sample_id").alias("graph_id"))
     own, lines = samples.join(broken, "graph_id", "left_semi"), chains.join(broken, "graph_id", "left_semi")
     found = flows.repaired(own, graph, lines, facts.RuleExtractor())[1]
-    edges = flows.stored(found.select("graph_id", "edge_id", "edge_seq", "sentence", "entities"))
-    starts = edges.groupBy("graph_id").agg(F.min(F.array_min("entities")).alias("entity_id"))
+    edges = found.select("graph_id", "edge_id", "edge_seq", "sentence", "entities")
+    starts = flows.stored(edges.groupBy("graph_id").agg(F.min(F.array_min("entities")).alias("entity_id")))
     scored, near = flows.scored_walks(samples, edges, starts)
     return retrieve.contexts(samples, {"graph_repair": retrieve.graph_evidence(scored, near), "graph_guided_repair": retrieve.guided_evidence(scored, starts)})
 
